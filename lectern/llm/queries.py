@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage
+from lectern.llm import leakage, sharedspans
 from lectern.sources.tables import table
 
 
@@ -24,5 +24,23 @@ def p8_leaked_items(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_leaked_items": p8_leaked_items}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents with a common span of SPAN characters."""
+    return sharedspans.shared_pairs(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def p9_share(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document the share of its text found elsewhere."""
+    return sharedspans.shared_share(table(spark, sf, "documents", "doc_id", "text"))
+
+
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The shared spans of each document."""
+    spans = sharedspans.shared_spans(table(spark, sf, "documents", "doc_id", "text"))
+    return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
+
+
+QUERIES = {
+    "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
+}
 ORACLE: dict[str, str] = {}
