@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, sharedspans
+from lectern.llm import leakage, packing, sharedspans
 from lectern.sources.tables import table
 
 
@@ -40,7 +40,28 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
 
 
+def p7_assign(spark: SparkSession, sf: str) -> DataFrame:
+    """The container of each document, or of each piece of one that exceeds the capacity."""
+    return packing.packed_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "container_specs"))
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Items, used and unused tokens of each container."""
+    return packing.containers(p7_assign(spark, sf), table(spark, sf, "container_specs"))
+
+
+def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
+    """Per capacity the number of containers, the least that any packing needs, and the unused space."""
+    specs = table(spark, sf, "container_specs")
+    boxes = packing.containers(p7_assign(spark, sf), specs)
+    boxes = boxes.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("used").alias("used"), F.sum("unused").alias("unused"))
+    return boxes.join(specs, "spec_id").select(
+        "spec_id", "spec_name", "containers", F.ceil(F.col("used") / F.col("capacity_tokens")).alias("least"), "used", "unused"
+    )
+
+
 QUERIES = {
+    "p7_assign": p7_assign, "p7_containers": p7_containers, "p7_unused": p7_unused,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
 }
 ORACLE: dict[str, str] = {}
