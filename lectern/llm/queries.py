@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import leakage, packing, sharedspans
+from lectern.llm import language, leakage, packing, sharedspans
 from lectern.sources.tables import table
 
 
@@ -40,6 +40,18 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments of the runs whose label is missing or wrong or whose query mixes languages."""
+    segments = language.label_segments(table(spark, sf, "search_runs", "run_id", "query", "query_language"), "run_id", "query", "query_language")
+    return segments.where("case").select(F.col("key").alias("run_id"), "seg_no", "lang").distinct()
+
+
+def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """All segments of all runs with place, language and confidence."""
+    segments = language.label_segments(table(spark, sf, "search_runs", "run_id", "query", "query_language"), "run_id", "query", "query_language")
+    return segments.withColumnRenamed("key", "run_id")
+
+
 def p7_assign(spark: SparkSession, sf: str) -> DataFrame:
     """The container of each document, or of each piece of one that exceeds the capacity."""
     return packing.packed_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "container_specs"))
@@ -61,6 +73,7 @@ def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found, "p4_segments": p4_segments,
     "p7_assign": p7_assign, "p7_containers": p7_containers, "p7_unused": p7_unused,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
 }
