@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, leakage, packing, sharedspans
+from lectern.llm import language, leakage, linkage, packing, sharedspans
 from lectern.sources.tables import table
 
 
@@ -40,6 +40,23 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
 
 
+def _linked(spark: SparkSession, sf: str) -> DataFrame:
+    return linkage.match(
+        table(spark, sf, "papers", "paper_key", "title", "authors", "year"),
+        table(spark, sf, "catalog_papers", "catalog_key", "title", "authors", "year"), "paper_key", "catalog_key",
+    )
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows of the same work."""
+    return _linked(spark, sf).select("paper_key", "catalog_key").distinct()
+
+
+def p3_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs with their confidence."""
+    return _linked(spark, sf)
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Segments of the runs whose label is missing or wrong or whose query mixes languages."""
     segments = language.label_segments(table(spark, sf, "search_runs", "run_id", "query", "query_language"), "run_id", "query", "query_language")
@@ -73,6 +90,7 @@ def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found, "p3_matches": p3_matches,
     "p4_found": p4_found, "p4_segments": p4_segments,
     "p7_assign": p7_assign, "p7_containers": p7_containers, "p7_unused": p7_unused,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
