@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, leakage, linkage, packing, sharedspans
+from lectern.llm import language, leakage, linkage, packing, sharedspans, truncation
 from lectern.sources.tables import table
 
 
@@ -69,6 +69,30 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments.withColumnRenamed("key", "run_id")
 
 
+def _cut_values(spark: SparkSession, sf: str) -> DataFrame:
+    def of(name: str, key: str, field: str, source: str) -> DataFrame:
+        t = table(spark, sf, name, key, field, source)
+        return t.select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), F.lit(field).alias("field"), F.col(source).alias("source"), F.col(field).alias("text"))
+
+    values = (
+        of("papers", "paper_key", "abstract", "api").unionAll(of("catalog_papers", "catalog_key", "abstract", "api"))
+        .unionAll(of("search_results", "result_id", "abstract_summary", "method")).unionAll(of("search_results", "result_id", "final_response", "method"))
+    )
+    return truncation.verdicts(values)
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that were cut off."""
+    return _cut_values(spark, sf).where("is_cut").select("tbl", "row_key", "field").distinct()
+
+
+def p6_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source truncates."""
+    return _cut_values(spark, sf).groupBy("tbl", "field", "source").agg(
+        F.count("*").alias("values"), F.sum(F.col("is_cut").cast("long")).alias("cut"), F.round(F.avg(F.col("is_cut").cast("double")), 6).alias("rate")
+    )
+
+
 def p7_assign(spark: SparkSession, sf: str) -> DataFrame:
     """The container of each document, or of each piece of one that exceeds the capacity."""
     return packing.packed_documents(table(spark, sf, "documents", "doc_id", "text"), table(spark, sf, "container_specs"))
@@ -92,6 +116,7 @@ def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_matches": p3_matches,
     "p4_found": p4_found, "p4_segments": p4_segments,
+    "p6_found": p6_found, "p6_rates": p6_rates,
     "p7_assign": p7_assign, "p7_containers": p7_containers, "p7_unused": p7_unused,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
 }
