@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, leakage, linkage, packing, sharedspans, truncation
+from lectern.llm import language, leakage, linkage, packing, residue, sharedspans, truncation
 from lectern.sources.tables import table
 
 
@@ -69,6 +69,41 @@ def p4_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments.withColumnRenamed("key", "run_id")
 
 
+def _residue_values(spark: SparkSession, sf: str) -> DataFrame:
+    def of(name: str, key: str, field: str, link: str) -> DataFrame:
+        t = table(spark, sf, name, key, field, link)
+        host = F.coalesce(F.regexp_extract(link, "^https?://([^/]+)", 1), F.lit(""))
+        return t.select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), F.col(field).alias("text"), host.alias("host"))
+
+    return (
+        of("search_results", "result_id", "final_response", "link").unionAll(of("structured_summaries", "summary_id", "limitations", "paper_id"))
+        .unionAll(of("smart_extracts", "extract_id", "structured_summary", "paper_id"))
+    )
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Values that are or hold residue, filler or error text."""
+    return residue.verdicts(_residue_values(spark, sf)).where("rejected").select("tbl", "row_key").distinct()
+
+
+def p5_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """The rejected values with the part that gave the reason."""
+    return residue.verdicts(_residue_values(spark, sf)).where("rejected").drop("rejected")
+
+
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """All values that stay, null and empty ones left out."""
+    values = _residue_values(spark, sf)
+    bad = residue.verdicts(values).where("rejected").select("tbl", "row_key").distinct()
+    return values.where("length(text) > 0").join(bad, ["tbl", "row_key"], "left_anti").select("tbl", "row_key", "text")
+
+
+def p5_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Precision and recall against the weak labels on hosts that were left out of the fit."""
+    rows = [(h, n, p, round(a, 4), round(b, 4)) for h, n, p, a, b in residue.validate(_residue_values(spark, sf))]
+    return spark.createDataFrame(rows, "host string, parts long, weak_positives long, precision double, recall double")
+
+
 def _cut_values(spark: SparkSession, sf: str) -> DataFrame:
     def of(name: str, key: str, field: str, source: str) -> DataFrame:
         t = table(spark, sf, name, key, field, source)
@@ -78,7 +113,10 @@ def _cut_values(spark: SparkSession, sf: str) -> DataFrame:
         of("papers", "paper_key", "abstract", "api").unionAll(of("catalog_papers", "catalog_key", "abstract", "api"))
         .unionAll(of("search_results", "result_id", "abstract_summary", "method")).unionAll(of("search_results", "result_id", "final_response", "method"))
     )
-    return truncation.verdicts(values)
+    # residue is no truncated text
+    residues = p5_found(spark, sf).where("tbl = 'search_results'").select("tbl", "row_key", F.lit("final_response").alias("field"), F.lit(False).alias("clean"))
+    judged = truncation.verdicts(values).join(residues, ["tbl", "row_key", "field"], "left")
+    return judged.withColumn("is_cut", F.col("is_cut") & F.coalesce("clean", F.lit(True))).drop("clean")
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,6 +154,7 @@ def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found, "p3_matches": p3_matches,
     "p4_found": p4_found, "p4_segments": p4_segments,
+    "p5_found": p5_found, "p5_rejected": p5_rejected, "p5_clean": p5_clean, "p5_validation": p5_validation,
     "p6_found": p6_found, "p6_rates": p6_rates,
     "p7_assign": p7_assign, "p7_containers": p7_containers, "p7_unused": p7_unused,
     "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_share": p9_share, "p9_spans": p9_spans,
