@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import language, leakage, linkage, packing, residue, sharedspans, truncation
+from lectern.llm import language, leakage, linkage, packing, residue, sentences, sharedspans, truncation
 from lectern.sources.tables import table
 
 
@@ -40,6 +40,23 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end")
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentence units of the abstracts and of their summaries."""
+
+    def of(name: str, key: str, field: str) -> DataFrame:
+        return table(spark, sf, name, key, field).select(F.lit(name).alias("tbl"), F.col(key).alias("row_key"), F.col(field).alias("text"))
+
+    return sentences.segment(of("papers", "paper_key", "abstract").unionAll(of("search_results", "result_id", "abstract_summary")))
+
+
+def p1_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """Number and mean length of the units of each table's texts."""
+    units = p1_found(spark, sf)
+    return units.groupBy("tbl").agg(
+        F.count("*").alias("units"), F.countDistinct("row_key").alias("texts"), F.round(F.avg(F.col("sent_end") - F.col("sent_start")), 4).alias("mean_length")
+    )
+
+
 def _linked(spark: SparkSession, sf: str) -> DataFrame:
     return linkage.match(
         table(spark, sf, "papers", "paper_key", "title", "authors", "year"),
@@ -152,6 +169,7 @@ def p7_unused(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_lengths": p1_lengths,
     "p3_found": p3_found, "p3_matches": p3_matches,
     "p4_found": p4_found, "p4_segments": p4_segments,
     "p5_found": p5_found, "p5_rejected": p5_rejected, "p5_clean": p5_clean, "p5_validation": p5_validation,
