@@ -9,7 +9,7 @@ _WORD = r"[\p{L}\p{N}_]"
 
 
 def _kept(parts: Column) -> Column:
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_a(text: Column) -> Column:
@@ -19,7 +19,7 @@ def split_a(text: Column) -> Column:
 
 def split_b(text: Column, longer_than: int = 20) -> Column:
     """Parts between runs of . ! ? that are longer than ``longer_than`` characters."""
-    return F.filter(F.transform(F.split(F.trim(text), r"[.!?]+"), F.trim), lambda s: F.length(s) > longer_than)
+    return F.filter(F.transform(F.split(F.trim(text), r"[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > longer_than)
 
 
 def split_d(text: Column) -> Column:

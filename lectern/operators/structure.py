@@ -71,7 +71,7 @@ def section_rows(text: Column) -> Column:
 
     def content(s: Column) -> Column:
         part = F.slice(lines, s["start_idx"] + 2, F.greatest(s["end_idx"] - s["start_idx"] - 1, F.lit(0)))
-        return F.array_join(F.filter(F.transform(part, F.trim), lambda x: x != ""), "\n")
+        return F.array_join(F.filter(F.transform(part, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
     rows = F.transform(spans(text), lambda s: F.struct(s["section_type"].alias("section_type"), s["start_idx"].alias("start_idx"), content(s).alias("content")))
     return F.filter(rows, lambda r: F.length(r["content"]) > 50)
@@ -84,7 +84,7 @@ def equal_sections(text: Column) -> Column:
     out = []
     for i, (kind, _, _) in enumerate(vocab.POSITIONS):
         n = each if i < 4 else F.size(lines) - each * 4
-        part = F.filter(F.transform(F.slice(lines, each * i + 1, F.greatest(n, F.lit(0))), F.trim), lambda x: x != "")
+        part = F.filter(F.transform(F.slice(lines, each * i + 1, F.greatest(n, F.lit(0))), lambda x: F.trim(x)), lambda x: x != "")
         out.append(F.struct(F.lit(kind).alias("section_type"), (each * i).alias("start_idx"), F.array_join(part, "\n").alias("content")))
     return F.array(*out)
 

@@ -1,6 +1,6 @@
 """All core queries with their SQL."""
 
-from lectern.plans import drift_queries
+from lectern.plans import core_queries, drift_queries
 
-QUERIES = {**drift_queries.QUERIES}
-ORACLE: dict[str, str] = {}
+QUERIES = {**core_queries.QUERIES, **drift_queries.QUERIES}
+ORACLE: dict[str, str] = dict(core_queries.ORACLE)
