@@ -4,7 +4,7 @@ A regularized linear classifier over hashed word n-grams, length and title featu
 judges every sentence or line of a value; a value is rejected if one of its parts is.
 Weak labels come from response statuses and phrases; sentences that speak *about* such
 things are labelled as content, so the words alone decide nothing.  The classifier is
-fitted on a bounded sample of values (SAMPLE_POSITIVE and SAMPLE_ANY) and applied to
+fitted on a bounded sample of values (SAMPLE_SEARCHED and SAMPLE_ANY) and applied to
 all.  :func:`validate` leaves one host out at a time.
 
 Null and empty values are no cases.  Without any weakly positive value nothing is rejected.
@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values the classifier is fitted on at most: suspect ones and any, chosen by hash.
-SAMPLE_POSITIVE, SAMPLE_ANY = 4_000, 6_000
+#: Values that are searched for weakly positive ones, and values the classifier is fitted on in
+#: any case; both in expectation, chosen by a hash of the row.
+SAMPLE_SEARCHED, SAMPLE_ANY = 50_000, 6_000
 #: Hash space of the features, strength of the ridge penalty, steps of the fit.
 BITS, RIDGE, STEPS = 16, 2e-5, 200
 #: Score from which a part is residue, and the lower one for parts that a weak label confirms.
@@ -159,14 +160,15 @@ def _java(pattern: str) -> str:
 
 def labelled(values: DataFrame) -> tuple[list[str], np.ndarray, list[str]]:
     """Parts, weak labels and hosts of the bounded training sample of values (text, host)."""
-    v = values.where("length(text) > 0").select("text", "host").distinct()
+    v = values.where("length(text) > 0")
+    n = max(v.count(), 1)
+    place = F.pmod(F.xxhash64("tbl", "row_key"), F.lit(1 << 30)) / float(1 << 30)
+    v = v.withColumn("place", place).where(F.col("place") < SAMPLE_SEARCHED / n)
     slots = F.col("text").rlike(r"[{}$%<\[@~&]|__") & F.col("text").rlike(_java(SLOT))
     suspect = slots | F.col("text").rlike(_java(PHRASES)) | F.col("text").rlike(_RARE)
-    order = [F.xxhash64("text"), F.col("text"), F.col("host")]
-    rows = v.where(suspect).orderBy(*order).limit(SAMPLE_POSITIVE).collect()
-    rows += v.orderBy(*order).limit(SAMPLE_ANY).collect()
+    rows = v.where((F.col("place") < SAMPLE_ANY / n) | suspect).select("text", "host").collect()
     seen: dict[str, str] = {}
-    for text, host in rows:
+    for text, host in sorted((r[0], r[1] or "") for r in rows):
         for p in parts(text):
             seen.setdefault(p, host or "")
     items = sorted(seen)

@@ -34,7 +34,8 @@ _TERMINATORS = ".!?。！？।؟…"
 _CLOSERS = "\"”’»」』)]'“›"
 _PAIRS = {")": "(", "]": "[", "”": "“„", "»": "«", "」": "「", "』": "『", "“": "„"}
 _STRUCTURE = re.compile("[()\\[\\]“”„«»「」『』\"]")
-_TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|\.\.\.|[^\w\s]")
+_TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|\.\.\.|[.!?。！？।؟…]")
+_INSIDE = re.compile(r"([^\W_]+(?:[-'’][^\W_]+)*)\.(?= ?[^\W_A-Z]| ?[,;:)])")
 _RUN = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _MARK = re.compile(r"\s*[\[(<{](?:truncated|more|cut|continued|snip|read more|\.\.\.|…)[^\])>}]{0,12}[\])>}]\s*$|\s*(?:read more|see more)\s*$", re.I)
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
@@ -73,9 +74,9 @@ def last_words(text: str) -> tuple[str, str]:
     """The statistics key of an ending: last two words, or last characters where words aren't spaced."""
     if _RUN.match(text[-1:]):
         return text[-5:-1], text[-1]
-    tokens = _TOKEN.findall(text[-120:])
-    tokens = [t for t in tokens if t[0].isalnum()]
-    return (_fold(tokens[-2]) if len(tokens) > 1 else "", _fold(tokens[-1]) if tokens else "")
+    tokens = _TOKEN.findall(text[-120:].rstrip(_TERMINATORS))
+    before = tokens[-2] if len(tokens) > 1 else ""
+    return _fold(before) if before[:1].isalnum() else ".", _fold(tokens[-1]) if tokens and tokens[-1][0].isalnum() else ""
 
 
 def examine(raw: str) -> tuple[str, str, str]:
@@ -87,20 +88,21 @@ def examine(raw: str) -> tuple[str, str, str]:
     text = raw.strip()
     if not text:
         return "complete", "", ""
-    marked = _MARK.search(text)
-    if marked:
+    end = text[-60:]
+    if _MARK.search(end):
         return "cut", "", ""
-    if _BROKEN.search(text) and not text.endswith("&"):
+    if _BROKEN.search(text[-24:]) and not text.endswith("&"):
         return "cut", "", ""
     opened = text.startswith("<jats:p>") or "<jats:p>" in text[:40]
     if opened and not text.endswith(("</jats:p>", "</jats:sec>")):
         return "cut", "", ""
-    text = _TAG.sub("", text).strip()
+    if "<" in text:
+        text = _TAG.sub("", text).strip()
     if not text:
         return "complete", "", ""
-    dots = _DOTS.search(text)
+    dots = _DOTS.search(text[-12:])
     if dots:
-        body = text[: dots.start()]
+        body = text[: max(0, len(text) - 12) + dots.start()]
         return ("dots", *last_words(body)) if body and body[-1].isalnum() or _RUN.match(body[-1:]) else ("cut", "", "")
     if unclosed(text):
         return "cut", "", ""
@@ -116,11 +118,11 @@ def examine(raw: str) -> tuple[str, str, str]:
         return "ask", *last_words(body)
     if closed:
         return "complete", "", ""
-    if _URL.search(text):
+    if _URL.search(text[-300:]):
         return "complete", "", ""
     if not (text[-1].isalnum() or _RUN.match(text[-1])):
         return ("ask", *last_words(text)) if text[-1] in "%°$€" or not text[-1].isascii() and text[-1].isprintable() and text[-1] not in "—–‐‑" else ("cut", "", "")
-    tail = re.split(r"\n|(?<=[.!?])\s+", text)[-1]
+    tail = re.split(r"\n|(?<=[.!?])\s+", text[-200:])[-1]
     if _LABEL.match(tail):
         return ("label", *last_words(text))
     return ("ask", *last_words(text))
@@ -131,14 +133,36 @@ _STATS = pa.schema([("w1", pa.string()), ("w2", pa.string()), ("go", pa.int64())
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What follows every pair of words: a word, an end, final dots, a stop inside a sentence, nothing."""
-    counts: Counter = Counter()
+    triples: Counter = Counter()  # three tokens in a row
+    windows: Counter = Counter()  # seven characters in a row, where words aren't spaced
+    inside: Counter = Counter()  # words with a stop that a sentence goes on behind
+    finals: Counter = Counter()  # the last two tokens of texts
 
     def flush() -> pa.RecordBatch:
         rows: dict[tuple[str, str], list[int]] = {}
-        for (a, b, kind), n in counts.items():
-            key = (_fold(a), _fold(b))
-            rows.setdefault(key, [0, 0, 0, 0, 0])[kind] += n
-        counts.clear()
+
+        def add(a: str, b: str, kind: int, n: int) -> None:
+            rows.setdefault((a, b), [0, 0, 0, 0, 0])[kind] += n
+
+        for (a, b, c), n in triples.items():
+            if b[0].isalnum():
+                add(_fold(a) if a[0].isalnum() else ".", _fold(b), 1 if c in _TERMINATORS else 0, n)
+        for w, n in windows.items():
+            if _RUN.match(w[4]):
+                if w[5] in "。！？" or w[5] in " \n" and not w[6].isdigit():
+                    add(w[:4], w[4], 1, n)
+                elif w[5] != "…":
+                    add(w[:4], w[4], 0, n)
+        for b, n in inside.items():
+            add("", _fold(b), 3, n)
+        for (a, b, c), n in finals.items():
+            if c in ("...", "…"):
+                if b[0].isalnum():
+                    add(_fold(a) if a[0].isalnum() else ".", _fold(b), 2, n)
+            elif c[0].isalnum():
+                add(_fold(b) if b[0].isalnum() else ".", _fold(c), 4, n)
+        for counter in (triples, windows, inside, finals):
+            counter.clear()
         cols = list(zip(*((*k, *v) for k, v in rows.items()))) or [[] for _ in _STATS]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _STATS)], schema=_STATS)
 
@@ -147,32 +171,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not text:
                 continue
             if _RUN.search(text):
-                nxt = text[1:] + "\0"
-                for i in range(4, len(text) - 1):
-                    ch = text[i]
-                    if _RUN.match(ch):
-                        n = nxt[i]
-                        if n in "。！？" or n in " \n" and not (i + 2 < len(text) and text[i + 2].isdigit()):
-                            counts[text[i - 4 : i], ch, 1] += 1
-                        elif n != "…":
-                            counts[text[i - 4 : i], ch, 0] += 1
-            t = _TOKEN.findall(_TAG.sub("", text))
-            last = len(t) - 1
-            for i in range(1, last):
-                b, c = t[i], t[i + 1]
-                if not b[0].isalnum():
-                    continue
-                a = t[i - 1] if t[i - 1][0].isalnum() else t[i - 2] if i > 1 and t[i - 2][0].isalnum() else ""
-                if c in ("...", "…"):
-                    counts[a, b, 2 if i + 1 == last else 0] += 1
-                elif c in _TERMINATORS:
-                    inside = c == "." and i + 2 <= last and (t[i + 2][0].islower() or t[i + 2][0].isdigit() or t[i + 2][0] in ",;:)")
-                    counts[a, b, 3 if inside else 1] += 1
-                elif c[0].isalnum() or c in ",;:(-–/%+=<>&":
-                    counts[a, b, 0] += 1
-            if last > 0 and t[last][0].isalnum():
-                counts[t[last - 1] if t[last - 1][0].isalnum() else t[last - 2] if last > 1 and t[last - 2][0].isalnum() else "", t[last], 4] += 1
-            if len(counts) > FLUSH:
+                windows.update([text[i : i + 7] for i in range(len(text) - 6)])
+            t = _TOKEN.findall(_TAG.sub("", text) if "<" in text else text)
+            if len(t) > 2:
+                dotted = t[-1] in ("...", "…")
+                triples.update(zip(t, t[1:], t[2:-1] if dotted else t[2:]))
+                finals[tuple(t[-3:])] += 1
+            inside.update(_INSIDE.findall(text))
+            if len(triples) + len(windows) > FLUSH:
                 yield flush()
     yield flush()
 
@@ -194,7 +200,7 @@ def verdicts(values: DataFrame) -> DataFrame:
     seen = cut(values.select("tbl", "row_key", "field", "source", "text", F.xxhash64("text").alias("th")).mapInArrow(_examine, "tbl string, row_key long, field string, source string, n int, verdict string, w1 string, w2 string, th long"))
     stats = values.select("text").mapInArrow(_count, "w1 string, w2 string, go long, end long, dots long, abbr long, fin long")
     stats = cut(stats.groupBy("w1", "w2").agg(*[F.sum(c).alias(c) for c in ("go", "end", "dots", "abbr", "fin")]))
-    word = stats.groupBy("w2").agg(F.sum(F.col("go") + F.col("end") + F.col("abbr")).alias("uses"), F.sum("abbr").alias("w_abbr"), F.sum("end").alias("w_end"), F.sum("fin").alias("w_fin"))
+    word = stats.groupBy("w2").agg(F.sum(F.col("go") + F.col("end")).alias("uses"), F.sum("abbr").alias("w_abbr"), (F.sum("end") - F.sum("abbr")).alias("w_end"), F.sum("fin").alias("w_fin"))
     # lengths at which different unfinished values of a field pile up; one row per length
     bare = F.col("verdict").isin("ask", "label", "cut")
     at = seen.where(bare).groupBy("tbl", "field", "n").agg(F.count_distinct("th").alias("c"))
