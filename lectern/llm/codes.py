@@ -13,6 +13,8 @@ import numpy as np
 
 #: Characters handled in one array pass; a longer text makes a chunk of its own.
 CHUNK = 400_000
+#: Grams of a periodic run that keep their hash, one in so many.
+STRIDE = 120
 #: Stands between texts; no character has this code.
 GAP = 0x110000
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -98,8 +100,9 @@ def tokens(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_hash(codes: np.ndarray, k: int, period: int = 0) -> np.ndarray:
     """Hash of the k codes from each position; the highest value where they would cross a GAP.
 
-    Inside a run that repeats itself every ``period`` codes or fewer only the first
-    grams keep their hash, else such runs would be nothing but anchors.
+    Inside a run that repeats itself every ``period`` codes or fewer only the first gram
+    and every STRIDE-th after it keep their hash, else such runs would be nothing but
+    anchors.
     """
     n = len(codes) - k + 1
     if n <= 0:
@@ -107,8 +110,13 @@ def gram_hash(codes: np.ndarray, k: int, period: int = 0) -> np.ndarray:
     prefix = prefix_hash(codes)
     h = mix((prefix[k:] - prefix[:-k]) * powers(n, _INV))
     out = h.copy()
-    for p in range(1, min(period, n - 1) + 1):
-        out[p:][h[p:] == h[:-p]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    if period and n > 1:
+        again = np.zeros(n, bool)
+        for p in range(1, min(period, n - 1) + 1):
+            again[p:] |= h[p:] == h[:-p]
+        place = np.arange(n)
+        begin = np.maximum.accumulate(np.where(again, 0, place))
+        out[again & ((place - begin) % STRIDE != 0)] = np.uint64(0xFFFFFFFFFFFFFFFF)
     gaps = np.concatenate(([0], np.cumsum(codes == GAP)))
     out[gaps[k:] != gaps[:-k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
     return out

@@ -34,6 +34,8 @@ ROUNDS = 3
 SWITCH = 11.0
 #: Most that one word, and one character of a script without spaces, can speak against a language.
 WORD, CHAR = 3.6, 2.2
+#: What a Han character speaks for Chinese by itself; Japanese text shows by its kana.
+HAN_ALONE = 0.7
 
 #: Function words that start the training.
 FUNCTION_WORDS = {
@@ -134,7 +136,7 @@ class Model:
             seen = sum(self.words[lang][word] for lang in candidates)
             for lang in candidates:
                 p = (self.words[lang][word] + 0.05) / (self.size.get(lang, 0) + 200)
-                raw[lang] = math.log(p)
+                raw[lang] = math.log(p) + (HAN_ALONE if script == "han" and lang == "zh" else 0.0)
                 if script == "latin" and seen < 5:
                     g = [math.log((self.grams[lang][x] + 0.2) / (self.gram_size.get(lang, 0) + 500)) for x in _trigrams(word)]
                     raw[lang] = (raw[lang] if seen else 0.0) + 0.6 * sum(g)
