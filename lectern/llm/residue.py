@@ -175,14 +175,16 @@ def labelled(values: DataFrame) -> tuple[list[str], np.ndarray, list[str]]:
     return items, np.array([weak_label(p) for p in items], bool), [seen[p] for p in items]
 
 
-def verdicts(values: DataFrame) -> DataFrame:
+def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """tbl, row_key, score, part, rejected for all values (tbl, row_key, text, host): the worst part and its score.
 
     A part is residue by the classifier alone from SURE on; between CONFIRMED and SURE a
     weak label has to confirm it, which keeps cut words from being taken for filler.
+    ``of`` limits the result to some of the rows; the classifier is fitted on ``values``.
     """
     items, labels, _ = labelled(values)
     schema = "tbl string, row_key long, score double, part string, rejected boolean"
+    of = values if of is None else of
     if not labels.any() or labels.all():
         return values.where("false").select("tbl", "row_key", F.lit(0.0).alias("score"), F.lit("").alias("part"), F.lit(False).alias("rejected"))
     sent = values.sparkSession.sparkContext.broadcast(Classifier(items, labels))
@@ -207,7 +209,7 @@ def verdicts(values: DataFrame) -> DataFrame:
                     n += len(ps)
                 yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(best, pa.float64()), pa.array(worst, pa.string()), pa.array(no, pa.bool_())], ["tbl", "row_key", "score", "part", "rejected"])
 
-    return values.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)
+    return of.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)
 
 
 def validate(values: DataFrame) -> list[tuple[str, int, int, float, float]]:

@@ -35,7 +35,8 @@ _CLOSERS = "\"”’»」』)]'“›"
 _PAIRS = {")": "(", "]": "[", "”": "“„", "»": "«", "」": "「", "』": "『", "“": "„"}
 _STRUCTURE = re.compile("[()\\[\\]“”„«»「」『』\"]")
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|\.\.\.|[.!?。！？।؟…]")
-_INSIDE = re.compile(r"([^\W_]+(?:[-'’][^\W_]+)*)\.(?= ?[^\W_A-Z]| ?[,;:)])")
+_INSIDE = re.compile(r"\.(?= ?[^\W_A-Z]| ?[,;:)])")
+_BEFORE = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*$")
 _RUN = re.compile("[぀-ヿ㐀-鿿฀-๿]")
 _MARK = re.compile(r"\s*[\[(<{](?:truncated|more|cut|continued|snip|read more|\.\.\.|…)[^\])>}]{0,12}[\])>}]\s*$|\s*(?:read more|see more)\s*$", re.I)
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
@@ -170,14 +171,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            if _RUN.search(text):
+            if not text.isascii() and _RUN.search(text):
                 windows.update([text[i : i + 7] for i in range(len(text) - 6)])
             t = _TOKEN.findall(_TAG.sub("", text) if "<" in text else text)
             if len(t) > 2:
                 dotted = t[-1] in ("...", "…")
                 triples.update(zip(t, t[1:], t[2:-1] if dotted else t[2:]))
                 finals[tuple(t[-3:])] += 1
-            inside.update(_INSIDE.findall(text))
+            for m in _INSIDE.finditer(text):
+                word = _BEFORE.search(text, max(0, m.start() - 30), m.start())
+                if word and not word.group()[-1].isdigit():
+                    inside[word.group()] += 1
             if len(triples) + len(windows) > FLUSH:
                 yield flush()
     yield flush()
