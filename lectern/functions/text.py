@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}_]"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def _kept(parts: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
@@ -87,10 +92,10 @@ def contains_count(text: Column, terms: list[str]) -> Column:
 
 def pattern_count(text: Column, patterns: list[str]) -> Column:
     """Sum of the numbers of matches of all patterns."""
-    total = F.lit(0)
-    for p in patterns:
-        total = total + F.regexp_count(text, F.lit(p))
-    return total
+    out = F.regexp_count(text, F.lit(patterns[0])) if patterns else F.lit(0)
+    for p in patterns[1:]:
+        out = out + F.regexp_count(text, F.lit(p))
+    return out
 
 
 def jaccard(a: Column, b: Column) -> Column:

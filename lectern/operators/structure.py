@@ -19,9 +19,7 @@ def header_type(line: Column, headers: dict[str, list[str]] = vocab.SECTION_HEAD
     ok = (s != "") & (F.length(s) <= 100)
     out = None
     for kind, patterns in headers.items():
-        hit = F.lit(False)
-        for p in patterns:
-            hit = hit | s.rlike(p.replace("(?i)", "(?iu)"))
+        hit = s.rlike("|".join(p.replace("(?i)", "(?iu)") for p in patterns))
         out = F.when(ok & hit, kind) if out is None else out.when(ok & hit, kind)
     return out
 
@@ -54,18 +52,21 @@ def resolved(found: Column, apart: int = 10) -> Column:
     return F.aggregate(found, F.array().cast(_BOUNDARY), step)
 
 
-def spans(text: Column) -> Column:
+def spans(text: Column, kept: Column | None = None) -> Column:
     """ARRAY<STRUCT<section_type, start_idx, end_idx>>: the header spans, or five by position if there are under three."""
     lines = F.size(F.split(text, "\n"))
-    kept = resolved(headers(text))
-    ends = F.concat(F.transform(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda x: x["start_idx"]), F.array(lines))
-    by_header = F.zip_with(kept, ends, lambda b, e: F.struct(b["section_type"].alias("section_type"), b["start_idx"].alias("start_idx"), e.alias("end_idx")))
-    by_position = F.array(*[F.struct(F.lit(t).alias("section_type"), F.floor(lines * a).cast("int").alias("start_idx"), F.floor(lines * b).cast("int").alias("end_idx")) for t, a, b in vocab.POSITIONS])
     kind = "array<struct<section_type:string,start_idx:int,end_idx:int>>"
-    return F.when(F.size(kept) >= 3, by_header.cast(kind)).otherwise(by_position.cast(kind))
+    by_position = F.array(*[F.struct(F.lit(t).alias("section_type"), F.floor(lines * a).cast("int").alias("start_idx"), F.floor(lines * b).cast("int").alias("end_idx")) for t, a, b in vocab.POSITIONS])
+
+    def of(kept: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda x: x["start_idx"]), F.array(lines))
+        by_header = F.zip_with(kept, ends, lambda b, e: F.struct(b["section_type"].alias("section_type"), b["start_idx"].alias("start_idx"), e.alias("end_idx")))
+        return F.when(F.size(kept) >= 3, by_header.cast(kind)).otherwise(by_position.cast(kind))
+
+    return of(kept) if kept is not None else T.let(resolved(headers(text)), of)
 
 
-def section_rows(text: Column) -> Column:
+def section_rows(text: Column, of: Column | None = None) -> Column:
     """ARRAY<STRUCT<section_type, start_idx, content>>: spans without their first line and blank lines, over 50 characters."""
     lines = F.split(text, "\n")
 
@@ -73,7 +74,7 @@ def section_rows(text: Column) -> Column:
         part = F.slice(lines, s["start_idx"] + 2, F.greatest(s["end_idx"] - s["start_idx"] - 1, F.lit(0)))
         return F.array_join(F.filter(F.transform(part, lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
-    rows = F.transform(spans(text), lambda s: F.struct(s["section_type"].alias("section_type"), s["start_idx"].alias("start_idx"), content(s).alias("content")))
+    rows = F.transform(spans(text) if of is None else of, lambda s: F.struct(s["section_type"].alias("section_type"), s["start_idx"].alias("start_idx"), content(s).alias("content")))
     return F.filter(rows, lambda r: F.length(r["content"]) > 50)
 
 
@@ -108,37 +109,36 @@ def abstract_section(text: Column) -> Column:
     return F.when(F.size(got) >= 3, F.array_join(got, " "))
 
 
-def sections(text: Column) -> Column:
+def sections(text: Column, rows: Column | None = None, abstract: Column | None = None) -> Column:
     """MAP<section_type, content>: the last section of a type wins; equal chunks if under three; the abstract overrides."""
-    rows = section_rows(text)
-    rows = F.when(F.size(F.array_distinct(F.transform(rows, lambda r: r["section_type"]))) >= 3, rows).otherwise(F.filter(equal_sections(text), lambda r: F.length(r["content"]) > 50))
     kind = "array<struct<key:string,value:string>>"
-    pairs = F.transform(rows, lambda r: F.struct(r["section_type"].alias("key"), r["content"].alias("value"))).cast(kind)
-    abstract = abstract_section(text)
-    pairs = F.when(abstract.isNotNull(), F.concat(pairs, F.array(F.struct(F.lit("abstract").alias("key"), abstract.alias("value"))).cast(kind))).otherwise(pairs)
 
     def put(acc: Column, x: Column) -> Column:
         return F.concat(F.filter(acc, lambda y: y["key"] != x["key"]), F.array(x)).cast(kind)
 
-    return F.map_from_entries(F.aggregate(pairs, F.array().cast(kind), put))
+    def of(rows: Column) -> Column:
+        enough = F.size(F.array_distinct(F.transform(rows, lambda r: r["section_type"]))) >= 3
+        used = F.when(enough, rows).otherwise(F.filter(equal_sections(text), lambda r: F.length(r["content"]) > 50))
+        pairs = F.transform(used, lambda r: F.struct(r["section_type"].alias("key"), r["content"].alias("value"))).cast(kind)
+        first = F.array(abstract_section(text) if abstract is None else abstract)
+        extra = F.transform(F.filter(first, lambda a: a.isNotNull()), lambda a: F.struct(F.lit("abstract").alias("key"), a.alias("value"))).cast(kind)
+        return F.map_from_entries(F.aggregate(F.concat(pairs, extra), F.array().cast(kind), put))
 
+    return of(rows) if rows is not None else T.let(section_rows(text), of)
 
-def candidates(content: Column, section: str, weight: float, patterns: list[str]) -> Column:
+
+def candidates(content: Column, section: str, weight: float, patterns: list[str], sentences: Column | None = None) -> Column:
     """ARRAY<STRUCT<score, section, text>>: sentences of 25 to 300 characters that match a pattern.
 
     0.7 of the section's weight, 0.2 by earliness, 0.1 by length up to 150 characters.
     """
-    s = T.split_d(content)
-    n = F.size(s)
-    scored = F.transform(
-        s, lambda x, i: F.struct((0.7 * F.lit(weight) + 0.2 * (n - i) / n + 0.1 * F.least(F.lit(1.0), F.length(x) / 150)).alias("score"), F.lit(section).alias("section"), x.alias("text"))
+    points = lambda s: F.transform(
+        s, lambda x, i: F.struct((0.7 * F.lit(weight) + 0.2 * (F.size(s) - i) / F.size(s) + 0.1 * F.least(F.lit(1.0), F.length(x) / 150)).alias("score"), F.lit(section).alias("section"), x.alias("text"))
     )
+    scored = T.let(T.split_d(content), points) if sentences is None else points(sentences)
 
     def hit(x: Column) -> Column:
-        any_ = F.lit(False)
-        for p in patterns:
-            any_ = any_ | x["text"].rlike(p)
-        return F.length(x["text"]).between(25, 300) & any_
+        return F.length(x["text"]).between(25, 300) & x["text"].rlike("|".join(patterns))
 
     return F.coalesce(F.filter(scored, hit), F.array().cast("array<struct<score:double,section:string,text:string>>"))
 
@@ -169,19 +169,23 @@ def diverse(found: Column, most: int) -> Column:
     return F.aggregate(found.cast(kind), F.array().cast(kind), step)
 
 
-def facet(of: Column, name: str) -> Column:
-    """The findings of a facet in a MAP of sections, or its fixed sentence."""
+def facet(of: Column, name: str, sentences: Column | None = None) -> Column:
+    """The findings of a facet in a MAP of sections, or its fixed sentence.
+
+    ``sentences`` may give the MAP of the sections' sentences if it is known.
+    """
     weights, most, keywords, default = vocab.FACETS[name]
     least = 100 if name == "methodology" else 1
     found = F.concat(
         *[
-            F.when(F.length(F.coalesce(F.try_element_at(of, F.lit(s)), F.lit(""))) >= least, candidates(F.try_element_at(of, F.lit(s)), s, w, vocab.FACET_PATTERNS[name]))
+            F.when(F.length(F.coalesce(F.try_element_at(of, F.lit(s)), F.lit(""))) >= least, candidates(F.try_element_at(of, F.lit(s)), s, w, vocab.FACET_PATTERNS[name], None if sentences is None else F.try_element_at(sentences, F.lit(s))))
             .otherwise(F.array().cast("array<struct<score:double,section:string,text:string>>"))
             for s, w in weights
+            if sentences is None or s != "other"  # never detected
         ]
     )
-    chosen = diverse(rescored(found, keywords), most)
-    return F.when(F.size(chosen) > 0, F.concat(F.array_join(F.transform(chosen, lambda x: x["text"]), ". "), F.lit("."))).otherwise(default)
+    text = lambda c: F.when(F.size(c) > 0, F.concat(F.array_join(F.transform(c, lambda x: x["text"]), ". "), F.lit("."))).otherwise(default)
+    return T.let(diverse(rescored(found, keywords), most), text)
 
 
 def _argmax(text: Column, tables: dict[str, list[str]], points: float) -> Column:
@@ -273,15 +277,18 @@ def analyze(documents: DataFrame, key: str, text: str) -> DataFrame:
     """
     raw = F.coalesce(F.col(text), F.lit(""))
     d = documents.select(key, (F.length(raw) >= LEAST).alias("ok"), F.substring(T.clean_scientific(raw), 1, MOST).alias("body"))
-    d = d.withColumn("sections", F.when(F.col("ok"), sections(F.col("body"))))
-    for name in vocab.FACETS:
-        d = d.withColumn(name, F.when(F.col("ok"), facet(F.col("sections"), name)))
+    # one step each, so that every list is computed once
+    d = d.withColumn("kept", F.when(F.col("ok"), resolved(headers(F.col("body")))))
+    d = d.withColumn("rows", F.when(F.col("ok"), section_rows(F.col("body"), spans(F.col("body"), F.col("kept")))))
+    d = d.withColumn("abstract", F.when(F.col("ok"), abstract_section(F.col("body"))))
+    d = d.withColumn("sections", F.when(F.col("ok"), sections(F.col("body"), F.col("rows"), F.col("abstract"))))
+    d = d.withColumn("sentences", F.transform_values("sections", lambda k, v: T.split_d(v)))
+    d = d.withColumns({name: F.when(F.col("ok"), facet(F.col("sections"), name, F.col("sentences"))) for name in vocab.FACETS})
     part = lambda s: F.coalesce(F.try_element_at(F.col("sections"), F.lit(s)), F.lit(""))
     d = d.withColumn("type", paper_type(F.concat_ws(" ", part("abstract"), part("introduction"), part("methodology"))))
     d = d.withColumn("field", domain(F.concat_ws(" ", part("abstract"), part("introduction"))))
     scores = {n: quality(F.col(n), n) for n in vocab.FACETS}
-    for n in vocab.FACETS:
-        d = d.withColumn(f"q_{n}", scores[n])
+    d = d.withColumns({f"q_{n}": scores[n] for n in vocab.FACETS})
     overall = F.round(sum((F.col(f"q_{n}") for n in vocab.FACETS), F.lit(0.0)) / len(vocab.FACETS), 6)
     d = d.withColumn("overall", overall)
     only = lambda c: F.when(F.col("ok"), c)
