@@ -84,10 +84,17 @@ def clean_for_detection(text: Column) -> Column:
 
 def contains_count(text: Column, terms: list[str]) -> Column:
     """How many of ``terms`` occur in the text as substrings."""
-    total = F.lit(0)
-    for t in terms:
-        total = total + F.contains(text, F.lit(t)).cast("int")
-    return total
+    return F.size(F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t)))
+
+
+def weight_sum(text: Column, weights: list[tuple[str, int]]) -> Column:
+    """Sum of the weights of all terms that occur in the text as substrings.
+
+    A fold over a constant array: a chain of CASE expressions as long as the list would
+    exceed what the JVM compiles.
+    """
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in weights])
+    return F.aggregate(table, F.lit(0), lambda acc, x: acc + F.when(F.contains(text, x["t"]), x["w"]).otherwise(F.lit(0)))
 
 
 def pattern_count(text: Column, patterns: list[str]) -> Column:

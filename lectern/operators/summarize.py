@@ -85,45 +85,45 @@ def smart_extract(text: Column, most: int = 4, indicators: list[str] = vocab.RES
     sentence that tells focus or contribution decides.
     """
     t = F.trim(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    terms = F.filter(F.array(*[F.lit(i) for i in indicators]), lambda i: F.contains(low, i))
-    sentences = F.when(F.length(t) < 50, F.array().cast("array<string>")).otherwise(T.split_b(t))
+    none = F.array().cast("array<string>")
+    listed = F.array(*[F.lit(i) for i in indicators])
+    patterns = F.array(*[F.lit(p) for p in vocab.KEY_SENTENCE_PATTERNS])
 
-    def score(s: Column) -> Column:
-        ls = F.lower(s)
-        points = F.size(F.filter(terms, lambda i: F.contains(ls, i))) * 2.0
-        for p in vocab.KEY_SENTENCE_PATTERNS:
-            points = points + ls.rlike(p).cast("double")
-        return points + F.size(T.words(s)).between(10, 30).cast("double")
-
-    order = F.array_sort(F.transform(sentences, lambda s, i: F.struct((-score(s)).alias("k"), i.alias("i"), s.alias("s"))))
-    keys = F.when(F.size(sentences) <= most, sentences).otherwise(F.transform(F.slice(order, 1, most), lambda x: x["s"]))
+    def score(s: Column, terms: Column) -> Column:
+        points = F.size(F.filter(terms, lambda i: F.contains(s, i))) * 2.0
+        return points + F.size(F.filter(patterns, lambda p: F.rlike(s, p))) + F.size(T.words(s)).between(10, 30).cast("double")
 
     def any_of(s: Column, *ws: str) -> Column:
-        hit = F.lit(False)
-        for w in ws:
-            hit = hit | F.contains(s, F.lit(w))
-        return hit
+        return F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: F.contains(s, w))
 
     def focus(acc: Column, s: Column) -> Column:
-        s = F.lower(s)
         kind = F.when(any_of(s, "machine learning", "deep learning"), "Machine Learning methodology").when(any_of(s, "data"), "Data analysis approach").otherwise("Methodological approach")
         return F.when(any_of(s, "method", "approach", "algorithm"), kind).otherwise(acc)
 
     def gain(acc: Column, s: Column) -> Column:
-        s = F.lower(s)
         return (
             F.when(any_of(s, "novel", "new", "propose", "introduce"), "Introduces novel approach").when(any_of(s, "improve", "better", "outperform"), "Improves existing methods")
             .when(any_of(s, "evaluate", "compare", "analysis"), "Provides comparative analysis").otherwise(acc)
         )
 
-    paper_focus = F.aggregate(keys, F.lit("Research study"), focus)
-    contribution = F.aggregate(keys, F.lit("Presents findings"), gain)
-    shown = F.when(F.length(t) < 50, F.array().cast("array<string>")).otherwise(terms)
-    template = F.concat(
-        F.lit("FOCUS: "), paper_focus, F.lit("\nCONTRIBUTION: "), contribution, F.lit("\nKEY POINTS: "), F.array_join(F.slice(keys, 1, 3), " "), F.lit("\nTERMS: "), F.array_join(F.slice(shown, 1, 5), ", "),
-    )
-    return F.struct(keys.alias("key_sentences"), shown.alias("important_terms"), paper_focus.alias("paper_focus"), contribution.alias("contribution"), template.alias("structured_summary"))
+    def chosen(x: Column) -> Column:
+        order = F.array_sort(F.transform(x["s"], lambda s, i: F.struct((-score(F.lower(s), x["terms"])).alias("k"), i.alias("i"), s.alias("s"))))
+        return F.when(F.size(x["s"]) <= most, x["s"]).otherwise(F.transform(F.slice(order, 1, most), lambda y: y["s"]))
+
+    def labels(x: Column) -> Column:
+        low = F.transform(x["keys"], lambda s: F.lower(s))
+        return F.struct(x["keys"].alias("k"), x["terms"].alias("t"), F.aggregate(low, F.lit("Research study"), focus).alias("f"), F.aggregate(low, F.lit("Presents findings"), gain).alias("c"))
+
+    def out(x: Column) -> Column:
+        template = F.concat(
+            F.lit("FOCUS: "), x["f"], F.lit("\nCONTRIBUTION: "), x["c"], F.lit("\nKEY POINTS: "), F.array_join(F.slice(x["k"], 1, 3), " "), F.lit("\nTERMS: "), F.array_join(F.slice(x["t"], 1, 5), ", "),
+        )
+        return F.struct(x["k"].alias("key_sentences"), x["t"].alias("important_terms"), x["f"].alias("paper_focus"), x["c"].alias("contribution"), template.alias("structured_summary"))
+
+    long = F.length(t) >= 50
+    terms = F.when(long, T.let(F.lower(t), lambda low: F.filter(listed, lambda i: F.contains(low, i)))).otherwise(none)
+    start = F.struct(F.when(long, T.split_b(t)).otherwise(none).alias("s"), terms.alias("terms"))
+    return T.let(T.let(T.let(start, lambda x: F.struct(chosen(x).alias("keys"), x["terms"].alias("terms"))), labels), out)
 
 
 def truncated(text: Column, most: int = 150) -> Column:

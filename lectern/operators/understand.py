@@ -12,10 +12,7 @@ from lectern.functions import text as T
 def marker_score(text: Column, markers: list[str]) -> Column:
     """Two per word of each marker that the lower-cased text contains, one per word that is a marker."""
     low = F.lower(text)
-    total = F.lit(0)
-    for m in markers:
-        total = total + F.when(F.contains(low, F.lit(m)), 2 * len(m.split())).otherwise(0)
-    return total + F.size(F.filter(T.words(T.clean_for_detection(low)), lambda w: F.array_contains(F.array(*[F.lit(m) for m in markers]), w)))
+    return T.weight_sum(low, [(m, 2 * len(m.split())) for m in markers]) + F.size(F.filter(T.words(T.clean_for_detection(low)), lambda w: F.array_contains(F.array(*[F.lit(m) for m in markers]), w)))
 
 
 def detect_language(text: Column, french: list[str] = vocab.FRENCH_MARKERS, english: list[str] = vocab.ENGLISH_MARKERS) -> Column:
@@ -24,35 +21,35 @@ def detect_language(text: Column, french: list[str] = vocab.FRENCH_MARKERS, engl
     A null text is ``unknown``.
     """
     t = F.coalesce(text, F.lit(""))
-    fr, en = marker_score(t, french), marker_score(t, english)
     short = (F.length(F.trim(t)) < 3) | (F.length(T.clean_for_detection(t)) < 3)
     n = F.size(T.words(T.clean_for_detection(F.lower(t))))
-    return F.struct(
-        F.when(short, "unknown").when(fr > en, "fr").otherwise("en").alias("language"), fr.cast("long").alias("fr"), en.cast("long").alias("en"),
-        F.when(short, F.lit(0.0)).otherwise(F.least(F.greatest(fr, en) / (n + 1), F.lit(1.0))).alias("confidence"),
+    parts = F.struct(marker_score(t, french).alias("fr"), marker_score(t, english).alias("en"), short.alias("short"), n.alias("n"))
+    return T.let(
+        parts,
+        lambda x: F.struct(
+            F.when(x["short"], "unknown").when(x["fr"] > x["en"], "fr").otherwise("en").alias("language"), x["fr"].cast("long").alias("fr"), x["en"].cast("long").alias("en"),
+            F.when(x["short"], F.lit(0.0)).otherwise(F.least(F.greatest(x["fr"], x["en"]) / (x["n"] + 1), F.lit(1.0))).alias("confidence"),
+        ),
     )
 
 
 def intent_scores(text: Column, intents: dict[str, dict[str, int]] = vocab.INTENTS) -> Column:
     """STRUCT of one BIGINT per intent: the weights of the phrases the lower-cased text contains."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    out = []
-    for name, phrases in intents.items():
-        total = F.lit(0)
-        for phrase, weight in phrases.items():
-            total = total + F.when(F.contains(low, F.lit(phrase)), weight).otherwise(0)
-        out.append(total.cast("long").alias(name))
-    return F.struct(*out)
+    return F.struct(*[T.weight_sum(low, list(phrases.items())).cast("long").alias(name) for name, phrases in intents.items()])
 
 
 def detect_intent(text: Column, intents: dict[str, dict[str, int]] = vocab.INTENTS) -> Column:
     """The intent with most points, the one named first on ties, ``general`` without any."""
-    scores = intent_scores(text, intents)
-    top = F.greatest(*[scores[n] for n in intents]) if len(intents) > 1 else scores[next(iter(intents))]
-    best = F.when(top == 0, "general")
-    for n in intents:
-        best = best.when(scores[n] == top, n)
-    return best
+
+    def best(scores: Column) -> Column:
+        top = F.greatest(*[scores[n] for n in intents]) if len(intents) > 1 else scores[next(iter(intents))]
+        out = F.when(top == 0, "general")
+        for n in intents:
+            out = out.when(scores[n] == top, n)
+        return out
+
+    return T.let(intent_scores(text, intents), best)
 
 
 def expand_query(query: Column, entities: Column | None = None, stopwords: list[str] = vocab.QUERY_STOPWORDS) -> Column:

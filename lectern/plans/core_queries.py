@@ -13,7 +13,8 @@ from lectern import vocab
 from lectern.functions import text as T
 from lectern.operators import evaluate, rank, structure, summarize, understand, vectors
 from lectern.sources import landed
-from lectern.sources.tables import table
+from lectern.sources.tables import spread
+from lectern.sources.tables import table as plain_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -41,6 +42,10 @@ def q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def table(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    return spread(plain_table(spark, sf, name, *columns))
+
+
 def papers(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "papers", "paper_key", *columns)
 

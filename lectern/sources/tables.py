@@ -9,3 +9,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     """Read ``folder/name.parquet`` (a file or a directory), only ``columns`` if any are given."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a small input was read as fewer partitions than there are cores.
+
+    A large input has more partitions already and passes unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
