@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +70,46 @@ def post_process_translation(text: Column) -> Column:
     return F.regexp_replace(T.collapse(text), r"\s+([.,!?;:])", "$1")
 
 
-def entity_topk(queries: DataFrame, vocabulary: DataFrame, k: int = 2, threshold: float = 0.5) -> DataFrame:
-    """query_id, category, term, score: the k nearest terms per category, those above the threshold.
+def entity_topk(queries: DataFrame, vocabulary: DataFrame, k: int = 2, threshold: float = 0.5, block: int = 4096) -> DataFrame:
+    """query_id, category, term, score, rank: the k nearest terms per category, those above the threshold.
 
     ``queries`` has query_id and embedding, ``vocabulary`` category, term, pos and
-    embedding.  Ties go to the lower ``pos``.  Every query meets every term; the
-    vocabulary is repartitioned in blocks rather than broadcast, so neither side has
-    to fit a task: rows are pre-cut to k per block before the final ranking.
+    embedding.  Ties go to the lower ``pos``.  The query set is sent in blocks of
+    ``block`` vectors; every vocabulary batch yields its k best per query and category
+    only, so what is shuffled is bounded by the batches, not by the pairs.  Rows with a
+    null embedding are left out.
     """
-    from lectern.operators.vectors import cosine
-
-    pairs = queries.select("query_id", F.col("embedding").alias("q")).join(vocabulary, F.lit(True), "inner")
-    scored = pairs.select("query_id", "category", "term", "pos", cosine(F.col("q"), F.col("embedding")).alias("score"))
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    words = vocabulary.where("embedding is not null").select("category", "term", "pos", "embedding")
+    names = {f.name: f.dataType.simpleString() for f in words.schema.fields}
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, category {names['category']}, term {names['term']}, pos {names['pos']}, score double"
+    sc, out, rows = queries.sparkSession.sparkContext, None, []
+
+    def scored(rows: list) -> DataFrame:
+        q = np.array([r[1] for r in rows], np.float64)
+        sent = sc.broadcast(([r[0] for r in rows], q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-8)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ids, unit = sent.value
+            for batch in batches:
+                m = np.array(batch["embedding"].tolist(), np.float64)
+                score = np.round(unit @ (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)).T, 6) if len(m) else np.empty((len(ids), 0))
+                found = []
+                for _, own in batch.groupby("category").indices.items():
+                    own = own[np.argsort(batch["pos"].to_numpy()[own], kind="stable")]
+                    best = own[np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]]
+                    for i, row in enumerate(best):
+                        found += [(ids[i], batch["category"].iat[j], batch["term"].iat[j], batch["pos"].iat[j], float(score[i, j])) for j in row]
+                yield pd.DataFrame(found, columns=["query_id", "category", "term", "pos", "score"])
+
+        return words.mapInPandas(run, schema)
+
+    for row in asked.toLocalIterator():
+        rows.append(row)
+        if len(rows) == block:
+            out, rows = scored(rows) if out is None else out.unionAll(scored(rows)), []
+    if rows or out is None:
+        part = scored(rows) if rows else queries.sparkSession.createDataFrame([], schema)
+        out = part if out is None else out.unionAll(part)
     w = Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "pos")
-    return scored.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > threshold)).drop("pos")
+    return out.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > threshold)).drop("pos")

@@ -334,13 +334,13 @@ def cosine_topk(spark, sf):
 
 
 @query(
-    f"WITH p AS (SELECT x.vec_id AS query_id, y.label::BIGINT AS category, y.vec_id AS term, {_COS.replace('a[i]', 'x.embedding[i]').replace('b[i]', 'y.embedding[i]').replace('(a,', '(x.embedding,').replace('(b,', '(y.embedding,')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id % 100 = 0),"
+    f"WITH p AS (SELECT x.vec_id AS query_id, y.label::BIGINT AS category, y.vec_id AS term, {_COS.replace('a[i]', 'x.embedding[i]').replace('b[i]', 'y.embedding[i]').replace('(a,', '(x.embedding,').replace('(b,', '(y.embedding,')} AS score FROM embeddings x JOIN embeddings y ON x.vec_id % 20 = 0),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY score DESC, term) AS rank FROM p) SELECT query_id, category, term, score, rank::BIGINT AS rank FROM r WHERE rank <= 2 AND score > 0.2"
 )
 def entity_topk(spark, sf):
-    """Search: every hundredth vector asks, all vectors are the vocabulary, their label the category."""
+    """Search: every vector with an id divisible by 20 asks, all vectors are the vocabulary, their label the category."""
     d = table(spark, sf, "embeddings")
-    ask = d.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    ask = d.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     words = d.select(F.col("label").cast("long").alias("category"), F.col("vec_id").alias("term"), F.col("vec_id").alias("pos"), "embedding")
     return understand.entity_topk(ask, words, 2, 0.2).withColumn("rank", F.col("rank").cast("long"))
 

@@ -29,6 +29,23 @@ def test_expand(spark):
     assert d.select(understand.expand_query(F.col("q"), F.col("e"))).first()[0] == ["ai", "cnn", "deep", "diagnosis", "learning", "medical"]
 
 
+def test_entity_topk(spark):
+    import random
+
+    rng = random.Random(8)
+    v = [(i % 3, f"t{i}", i, [rng.gauss(0, 1) for _ in range(4)], "x") for i in range(40)] + [(0, "n", 99, None, "x"), (0, "tie", 100, [1.0, 0.0, 0.0, 0.0], "x"), (0, "tie2", 101, [1.0, 0.0, 0.0, 0.0], "x")]
+    q = [(i, [1.0, 0.0, 0.0, 0.1 * i]) for i in range(7)] + [(50, None)]
+    words = spark.createDataFrame(v, "category int, term string, pos int, embedding array<double>, score string")
+    asked = spark.createDataFrame(q, "query_id long, embedding array<double>")
+    got = {(r.query_id, r.category, r["rank"]): r.term for r in understand.entity_topk(asked, words, 2, -1.0, block=3).collect()}
+    cos = lambda a, b: round(sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) ** 0.5 + 1e-8) * (sum(y * y for y in b) ** 0.5 + 1e-8)), 6)
+    for i, e in q[:-1]:
+        for c in range(3):
+            best = sorted(((-cos(e, w[3]), w[2], w[1]) for w in v if w[0] == c and w[3]))[:2]
+            assert [got[i, c, 1], got[i, c, 2]] == [b[2] for b in best]
+    assert understand.entity_topk(asked.limit(0), words).count() == 0
+
+
 def test_tfidf_summary_edges(spark):
     d = papers(spark, "Cats sit. Dogs run fast in parks. Cats and dogs eat. Birds fly.", "", None, "One only.", "Same text here. Same text here. Same text here.", "! ? .")
     got = {r[0]: r[1] for r in summarize.tfidf_summary(d, "paper_key", "abstract", 2).collect()}
