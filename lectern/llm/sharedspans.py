@@ -161,11 +161,12 @@ def _lengths(flat, anchor_at, starts, ends, a, b) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(lefts), np.concatenate(rights)
 
 
-def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
+def _spans(pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
     """Pairs of contexts of a group with the lengths of their common span around the anchor.
 
-    Contexts may share a row class: equal contexts (same anchor, text and left part) are
-    indexed once.  Result: cls_a, cls_b (row numbers of the class tables), left, right.
+    Equal contexts (same anchor, text and left part) form a class and are indexed once.
+    Result: the class of each row, and pairs of classes (a, b) with the lengths (l, r)
+    left of and from the anchor on.
     """
     cls = pdf.groupby(["anchor", "left", "ctx"], sort=False).ngroup().to_numpy()
     first = np.flatnonzero(~pd.Series(cls).duplicated().to_numpy())
