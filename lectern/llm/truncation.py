@@ -4,7 +4,8 @@ A stack automaton checks the structure of every value: unclosed quotes, brackets
 markup, broken characters and escapes, marks of truncation.  A value that ends without
 a terminator is held against the corpus: whether its last words were ever seen to end
 a sentence, and whether its length is a limit at which the field's unfinished values
-pile up (the baseline of the source).  Word statistics are counted over all texts.
+pile up (the baseline of the source).  Word statistics are counted over all different
+texts, so that copies of a cut text don't vouch for each other.
 
 Null and empty values are no cases.  Repeated rows are cases of their own.
 """
@@ -25,8 +26,11 @@ from lectern.session import cut
 ENDS = 0.03
 #: A length is a limit if so many times as many unfinished values have it as a length nearby.
 SPIKE, SPIKE_LEAST, NEARBY = 8, 6, 10
-#: Own dots of an author recur; fewer are taken for marks of truncation.
-OWN_DOTS = 3
+#: Share of an ending against the longer words that go on after the same word, and of a last word's uses inside sentences
+#: against its bare and dotted ends: from these on, it is a whole word and dots behind it are the author's.
+OWN_DOTS, WHOLE = 0.5, 0.5
+#: A last word of a label line that is used nowhere else ends at least so many different texts.
+LABEL_ENDS = 3
 #: Entries of a task's counter before it is handed on.
 FLUSH = 400_000
 
@@ -198,28 +202,41 @@ def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEEN)], schema=_SEEN)
 
 
+def _longer(words: DataFrame, asked: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """For each asked ending the summed ``n`` of the words that its last word, w2, begins and doesn't fill."""
+    starts = F.transform(F.sequence(F.lit(1), F.length("w2") - 1), lambda i: F.substring("w2", F.lit(1), i))
+    words = words.where("n > 0 and length(w2) > 1").select(*keys[:-1], F.explode(starts).alias("w2"), "n")
+    return words.join(asked, keys).groupBy(*keys).agg(F.sum("n").alias(name))
+
+
 def verdicts(values: DataFrame) -> DataFrame:
     """tbl, row_key, field, source, is_cut for all values (tbl, row_key, field, source, text)."""
     values = values.where("length(text) > 0")
     seen = cut(values.select("tbl", "row_key", "field", "source", "text", F.xxhash64("text").alias("th")).mapInArrow(_examine, "tbl string, row_key long, field string, source string, n int, verdict string, w1 string, w2 string, th long"))
-    stats = values.select("text").mapInArrow(_count, "w1 string, w2 string, go long, end long, dots long, abbr long, fin long")
+    stats = values.select("text").distinct().mapInArrow(_count, "w1 string, w2 string, go long, end long, dots long, abbr long, fin long")
     stats = cut(stats.groupBy("w1", "w2").agg(*[F.sum(c).alias(c) for c in ("go", "end", "dots", "abbr", "fin")]))
-    word = stats.groupBy("w2").agg(F.sum(F.col("go") + F.col("end")).alias("uses"), F.sum("abbr").alias("w_abbr"), (F.sum("end") - F.sum("abbr")).alias("w_end"), F.sum("fin").alias("w_fin"))
+    word = stats.groupBy("w2").agg(F.sum(F.col("go") + F.col("end")).alias("uses"), F.sum("abbr").alias("w_abbr"), (F.sum("end") - F.sum("abbr")).alias("w_end"), F.sum("fin").alias("w_fin"), F.sum("dots").alias("w_dots"))
+    # words that an ending may be a piece of: behind the same word for dots, anywhere for labels
+    asked = seen.where("verdict = 'dots'").select("w1", "w2").distinct()
+    behind = _longer(stats.join(asked.select("w1").distinct(), "w1", "left_semi").select("w1", "w2", (F.col("go") + F.col("end")).alias("n")), asked, ["w1", "w2"], "longer")
+    asked = seen.where("verdict = 'label'").select("w2").distinct()
+    anywhere = _longer(word.select("w2", (F.col("uses") + F.col("w_fin")).alias("n")), asked, ["w2"], "w_longer")
     # lengths at which different unfinished values of a field pile up; one row per length
     bare = F.col("verdict").isin("ask", "label", "cut")
     at = seen.where(bare).groupBy("tbl", "field", "n").agg(F.count_distinct("th").alias("c"))
     near = at.select("tbl", "field", F.explode(F.sequence(F.col("n") - NEARBY, F.col("n") + NEARBY)).alias("n"), F.col("c").alias("c2")).groupBy("tbl", "field", "n").agg(F.sum("c2").alias("around"))
     spikes = at.join(near, ["tbl", "field", "n"]).where((F.col("c") >= SPIKE_LEAST) & (F.col("c") * 2 * NEARBY >= SPIKE * (F.col("around") - F.col("c"))))
-    open_ = seen.where(~F.col("verdict").isin("complete", "cut")).join(stats, ["w1", "w2"], "left").join(word, "w2", "left")
-    open_ = open_.join(spikes.select("tbl", "field", "n", F.lit(True).alias("limit")), ["tbl", "field", "n"], "left").na.fill(0, ["go", "end", "dots", "abbr", "uses", "w_abbr", "w_end", "w_fin"])
+    open_ = seen.where(~F.col("verdict").isin("complete", "cut")).join(stats, ["w1", "w2"], "left").join(word, "w2", "left").join(behind, ["w1", "w2"], "left").join(anywhere, "w2", "left")
+    open_ = open_.join(spikes.select("tbl", "field", "n", F.lit(True).alias("limit")), ["tbl", "field", "n"], "left").na.fill(0, ["go", "end", "dots", "abbr", "uses", "w_abbr", "w_end", "w_fin", "w_dots", "longer", "w_longer"])
     share = F.col("end") / F.greatest(F.col("go") + F.col("end"), F.lit(1))
     bare_end = (F.col("go") + F.col("end") > 0) & (share >= ENDS)
-    own = (F.col("uses") > 0) & (F.col("dots") >= OWN_DOTS) & ((F.col("go") == 0) | bare_end)
+    whole = (F.col("uses") > 0) & (F.col("uses") >= WHOLE * (F.col("uses") + F.col("w_dots") + F.col("w_fin")))
+    own = whole & (F.col("dots") > 0) & (F.col("dots") >= OWN_DOTS * (F.col("dots") + F.col("longer"))) & ((F.col("go") == 0) | bare_end)
     is_cut = (
         F.when(F.col("verdict") == "stop", (F.col("w_abbr") >= 5) & (F.col("w_end") < 0.1 * F.col("w_abbr")))
         .when(F.col("verdict") == "dots", ~own)
         .when(F.coalesce("limit", F.lit(False)), F.lit(True))
-        .when(F.col("verdict") == "label", (F.col("uses") == 0) & (F.col("w_fin") < 3))
+        .when(F.col("verdict") == "label", (F.col("uses") == 0) & ((F.col("w_fin") < LABEL_ENDS) | (F.col("w_fin") < WHOLE * (F.col("w_fin") + F.col("w_longer")))))
         .otherwise(~bare_end)
     )
     done = seen.where(F.col("verdict").isin("complete", "cut")).select("tbl", "row_key", "field", "source", (F.col("verdict") == "cut").alias("is_cut"))

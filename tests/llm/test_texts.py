@@ -299,6 +299,16 @@ def test_truncation(spark):
     assert truncation.verdicts(d.limit(0)).count() == 0
 
 
+def test_copies_of_a_cut_text_do_not_vouch(spark):
+    s = ["We show that the encoder works on foundry planning over three seasons.", "The plan holds on rivers.", "And the work goes on..."]
+    rows = [("t", i, "f", "s", f"{s[0]} Site {i} was checked on foot. {s[1] if i == 0 else ''}") for i in range(8)] + [("t", 20 + i, "f", "s", f"{s[1]} {s[2]}") for i in range(2)]
+    rows += [("t", 100 + i, "f", "s", "It reduces the error for glaciers and foundry plan...") for i in range(6)]
+    rows += [("t", 200 + i, "f", "s", "It is done. Keywords: river, glaci") for i in range(4)]
+    d = spark.createDataFrame(rows, "tbl string, row_key long, field string, source string, text string")
+    got = {r.row_key for r in truncation.verdicts(d).where("is_cut").collect()}
+    assert got == {*range(100, 106), *range(200, 204)}
+
+
 # ---- problem 1 -----------------------------------------------------------------------
 
 
