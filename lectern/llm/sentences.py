@@ -1,16 +1,17 @@
 """Sentence boundaries across languages and scripts.
 
-A hidden-event n-gram language model: between any two words a boundary token may be
-hidden.  The model knows how often a boundary follows a word (or the last characters,
-where words aren't spaced) and which words follow a boundary or stand inside a
-sentence, with back-off to shapes for rare words; forward-backward over all gaps of a
-text gives the posterior of each boundary.  It is trained without labels: a first guess
+A hidden-event n-gram language model: a boundary token may be hidden behind every
+terminator and at every line break outside quotations and brackets.  The model knows
+how often a boundary follows a word (or the last characters, where words aren't spaced)
+and which words follow a boundary or stand inside a sentence, with back-off to shapes
+for rare words; forward-backward over these gaps of a text gives the posterior of each boundary.  It is trained without labels: a first guess
 from punctuation and case, then rounds of expectation and maximization over a bounded
 sample of distinct texts.
 
 Structure restricts the gaps: inside an open quotation or bracket there is none, a
-blank line always is one, and in scripts without a full stop the gaps are the spaces
-that stand beside no numeral.
+blank line always is one, and in scripts without a full stop the spaces that stand
+beside no numeral are boundaries by rule, as the writer set the units apart with them.
+Between words of one line without a terminator there is no gap.
 
 Null texts, empty ones and ones of white space give no units.  Texts of any length are
 handled whole; repeated rows give their own units.
@@ -33,6 +34,8 @@ SAMPLE, ROUNDS = 8_000, 4
 BACKOFF = 2.0
 #: Share of the words not seen before, inside sentences and at their starts.
 UNSEEN = (0.02, 0.002)
+#: Words and characters of a line that may be a heading, at most (characters where words aren't spaced).
+HEADING, HEADING_CHARS, HEADING_RUN = 8, 80, 12
 #: An opening mark without its closing one counts only so near the end of a text.
 OPEN_END = 300
 
@@ -53,8 +56,24 @@ _UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
 _DIGIT = re.compile(r"\d")
 
 
+def _line(text: str, end: int) -> str:
+    """The shape of a line without a terminator: how many words, if a sentence or the text begins with it."""
+    start = text.rfind("\n", 0, end) + 1
+    before = text[max(0, start - 60) : start].rstrip()
+    if start and before and before[-1] not in ".!?…。！？।؟" and before[-1] not in _CLOSE and before[-1] != '"' and not text[:start].endswith("\n\n"):
+        return "line in"
+    line = text[start:end].strip()
+    words = line.count(" ") + 1
+    if words > HEADING or len(line) > (HEADING_RUN if _UNSPACED.search(line) else HEADING_CHARS) or any(c in ".!?。！？।" for c in line) or not line or line[0].islower() or line[-1] in ",;(-–—":
+        return "line long"
+    return f"line head{1 if words == 1 else 2 if words < 5 else 3}"
+
+
 def _left(text: str, end: int) -> tuple[str, str]:
     """(word with its final marks, shape) before a gap."""
+    if text[end : end + 1] == "\n" and text[end - 1] not in ".!?…。！？।؟" and not (text[end - 1] in _CLOSE or text[end - 1] in "\"'"):
+        m = _LAST.search(text, max(0, end - 40), end)
+        return _DIGIT.sub("0", (m.group(1) if m else text[max(0, end - 3) : end]).lower()) + "\n", _line(text, end)
     m = _LAST.search(text, max(0, end - 40), end)
     word = m.group(1) if m else text[max(0, end - 3) : end]
     marks = text[end - 1] if end else ""
@@ -141,6 +160,8 @@ def gaps(text: str) -> tuple[list[int], list[int]]:
                     certain.append(s)
             elif depth == 0 and ch == "\n" and _TAIL.match(text, s):
                 certain.append(s)
+            elif depth == 0 and ch == "\n" and text[max(ended, 0) : s].strip():
+                candidates.append(s)
             continue
         if ended == e and depth == 0 and e < n:
             nxt = text[e]
@@ -246,6 +267,8 @@ def first_guess(left: tuple[str, str], right: tuple[str, str]) -> float | None:
     """Probability of a boundary by punctuation and case alone; None where these leave it open."""
     mark = left[0][-1:] if left[0] else ""
     kind, shape = left[1].split(" ")[0], right[1]
+    if kind == "line":  # short lines of their own before a capital are headings
+        return 0.002 if "head" not in left[1] else None if "lower" in shape or "num" in shape else 0.9
     plain = kind in ("w3", "w4", "w5", "year")
     if "lower" in shape:
         return None if plain and mark == "." and not left[1].endswith("q") else 0.002

@@ -338,6 +338,22 @@ def test_sentence_units(spark):
     assert sentences.segment(d.limit(0)).count() == 0
 
 
+def test_heading_lines_are_units(spark):
+    base = ["We show that it works on the rivers this year.", "mRNA profiles were linked to lakes over three seasons.", "How does the method help?", "The first season ended in spring."]
+    rng = random.Random(8)
+    rows = [("p", i, " ".join(base[rng.randrange(4)] for _ in range(4)), "x") for i in range(100)]
+    rows += [("p", 100 + i, "{}\n{} {}".format(["Summary", "Purpose of the study"][i % 2], base[i % 4 // 2 * 2], base[3]), "x") for i in range(8)]
+    rows += [("p", 200 + i, "We show that\nit works on the rivers this year. The first\nseason ended in spring.", "x") for i in range(4)]
+    rows += [("p", 300, "Summary\n" + base[3], "x"), ("p", 301, base[0] + "\n" + base[3], "x")]
+    d = spark.createDataFrame(rows, "tbl string, row_key long, text string, sent_end string")
+    text, got = {k: t for _, k, t, _ in rows}, {}
+    for r in sentences.segment(d).orderBy("row_key", "sent_start").collect():
+        got.setdefault(r.row_key, []).append(text[r.row_key][r.sent_start : r.sent_end])
+    assert [got[100 + i][0] for i in range(8)] == ["Summary", "Purpose of the study"] * 4 and {len(got[100 + i]) for i in range(8)} == {3}
+    assert got[200] == ["We show that\nit works on the rivers this year.", "The first\nseason ended in spring."]
+    assert got[300] == ["Summary", base[3]] and got[301] == [base[0], base[3]]
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
