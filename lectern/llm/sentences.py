@@ -5,8 +5,10 @@ terminator and at every line break outside quotations and brackets.  The model k
 how often a boundary follows a word (or the last characters, where words aren't spaced)
 and which words follow a boundary or stand inside a sentence, with back-off to shapes
 for rare words; forward-backward over these gaps of a text gives the posterior of each boundary.  It is trained without labels: a first guess
-from punctuation and case, then rounds of expectation and maximization over a bounded
-sample of distinct texts.
+from punctuation and case, then rounds of expectation and maximization over all distinct
+texts.  Each round is a distributed count: a task weighs the gaps of its texts, the sums
+by word and shape make the next model.  Weights are whole numbers, so the sums don't
+depend on the partitions.
 
 Structure restricts the gaps: inside an open quotation or bracket there is none, a
 blank line always is one, and in scripts without a full stop the spaces that stand
@@ -19,6 +21,7 @@ handled whole; repeated rows give their own units.
 
 from __future__ import annotations
 
+import marshal
 import math
 import re
 from collections import defaultdict
@@ -28,8 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct texts the model is trained on at most, chosen by hash; rounds of training.
-SAMPLE, ROUNDS = 8_000, 4
+from lectern.session import cut
+
+#: Rounds of training; weight of a whole gap in the sums; different gaps of a task before their sums are handed on.
+ROUNDS, WHOLE, FLUSH = 4, 1 << 20, 200_000
 #: Weight of a word's shape against its own counts.
 BACKOFF = 2.0
 #: Share of the words not seen before, inside sentences and at their starts.
@@ -179,6 +184,16 @@ def gaps(text: str) -> tuple[list[int], list[int]]:
     return candidates, certain
 
 
+def around(text: str, candidates: list[int]) -> tuple[list[tuple], list[int]]:
+    """The words and shapes on both sides of the candidate gaps, and their distances."""
+    far, last = [], 0
+    for c in candidates:
+        words = text.count(" ", last, c)
+        far.append(0 if words < 3 else 1 if words < 6 else 2)
+        last = c
+    return [(_left(text, c), _right(text, c)) for c in candidates], far
+
+
 class Model:
     """Counts of boundaries after words and of words after boundaries and elsewhere."""
 
@@ -195,13 +210,26 @@ class Model:
     def __getstate__(self):
         return {k: dict(v) if isinstance(v, defaultdict) else {} if k == "memo" else v for k, v in self.__dict__.items()}
 
-    def add(self, left: tuple[str, str], right: tuple[str, str], p: float) -> None:
-        """Count a gap that is a boundary with probability ``p``."""
-        for table, key in ((self.end, left[0]), (self.end_shape, left[1]), (self.next, right[0]), (self.next_shape, right[1]), (self.pair, (left[1], right[1]))):
-            table[key][1] += p
-            table[key][0] += 1 - p
-        self.total[1] += p
-        self.total[0] += 1 - p
+    def add(self, kind: str, a: str, b: str, n0: float, n1: float) -> None:
+        """Set the counts of a word, shape, pair or step."""
+        if kind == "step":
+            row = self.step[int(a)][int(b)]
+            row[0] += n0
+            row[1] += n1
+        elif kind == "total":
+            self.total = [self.total[0] + n0, self.total[1] + n1]
+        else:
+            getattr(self, kind)[(a, b) if kind == "pair" else a] = [n0, n1]
+
+    def balance(self) -> None:
+        """Steps relative to the share of boundaries, which the odds hold already."""
+        for bucket in self.step:
+            share = sum(r[1] for r in bucket) / sum(sum(r) for r in bucket)
+            for r in bucket:
+                n = sum(r)
+                x = r[1] / n / share
+                y = r[0] / n / max(1 - share, 1e-6)
+                r[0], r[1] = y / (x + y), x / (x + y)
 
     def odds(self, left: tuple[str, str], right: tuple[str, str]) -> float:
         """Log odds of a boundary between two words, without the neighbouring events."""
@@ -232,14 +260,8 @@ class Model:
         self.memo[key] = out
         return out
 
-    def posteriors(self, text: str, candidates: list[int]) -> tuple[list[float], list[tuple], list[int]]:
-        """Forward-backward over the candidate gaps of a text; also their words and distances."""
-        sides = [(_left(text, c), _right(text, c)) for c in candidates]
-        far, last = [], 0
-        for c in candidates:
-            words = text.count(" ", last, c)
-            far.append(0 if words < 3 else 1 if words < 6 else 2)
-            last = c
+    def posteriors(self, sides: list[tuple], far: list[int]) -> list[float]:
+        """Forward-backward over the candidate gaps of a text, given their words and distances."""
         # a full-width stop or danda outside quotations always ends a sentence
         up = [1e13 if x[0][1] in ("cjk。", "cjk！", "cjk？") or x[0][0].endswith("।") else math.exp(max(-30.0, min(30.0, self.odds(*x)))) for x in sides]
         step = [[[row[j] / (row[0] + row[1]) * 2 for j in (0, 1)] for row in bucket] for bucket in self.step]
@@ -260,7 +282,7 @@ class Model:
             b1 = t[1][0] * b[0] + t[1][1] * o * b[1]
             z = b0 + b1
             b = (b0 / z, b1 / z)
-        return out, sides, far
+        return out
 
 
 def first_guess(left: tuple[str, str], right: tuple[str, str]) -> float | None:
@@ -285,45 +307,98 @@ def first_guess(left: tuple[str, str], right: tuple[str, str]) -> float | None:
     return 0.999 if plain and kind != "year" else None
 
 
-def train(texts: list[str]) -> Model:
-    """Expectation and maximization from the first guess."""
-    prepared = [(t, c) for t, c in ((t, gaps(t)[0]) for t in texts) if c]
-    model = None
-    for _ in range(ROUNDS + 1):
-        new = Model()
-        for t, c in prepared:
-            if model is None:
-                sides = [(_left(t, x), _right(t, x)) for x in c]
-                post, far = [first_guess(*s) for s in sides], None
-            else:
-                post, sides, far = model.posteriors(t, c)
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the model sees of each text with gaps: words and shapes around them, distances, the first word."""
+    for batch in batches:
+        seen = []
+        for text in batch.column(0).to_pylist():
+            candidates = gaps(text)[0]
+            if candidates:
+                seen.append(marshal.dumps((*around(text, candidates), _right(text, 0))))
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.binary())], names=["seen"])
+
+
+_SUMS = pa.schema([("kind", pa.string()), ("a", pa.string()), ("b", pa.string()), ("n0", pa.int64()), ("n1", pa.int64())])
+
+
+def _weigh(model: Model | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Expectation: the sums of a task by word, shape, pair and step."""
+    met: dict[tuple, list[int]] = {}  # different gaps: times they were open, weighed, their weight
+    firsts: dict[tuple, int] = defaultdict(int)
+    steps: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
+
+    def flush() -> pa.RecordBatch:
+        sums: dict[tuple[str, str, str], list[int]] = defaultdict(lambda: [0, 0])
+
+        def add(kind: str, a: str, b: str, n0: int, n1: int) -> None:
+            row = sums[kind, a, b]
+            row[0] += n0
+            row[1] += n1
+
+        for (left, right), (open_, n, n1) in met.items():
+            n0 = n * WHOLE - n1
+            half = open_ * WHOLE // 2
+            add("end", left[0], "", n0 + half, n1 + half)
+            add("end_shape", left[1], "", n0 + half, n1 + half)
+            if n:
+                add("next", right[0], "", n0, n1)
+                add("next_shape", right[1], "", n0, n1)
+                add("pair", left[1], right[1], n0, n1)
+                add("total", "", "", n0, n1)
+        for (word, shape), n in firsts.items():  # the start of a text follows a boundary
+            add("next", word, "", 0, n * WHOLE)
+            add("next_shape", shape.lstrip("~"), "", 0, n * WHOLE)
+            add("total", "", "", 0, n * WHOLE)
+        for (f, before), (n0, n1) in steps.items():
+            add("step", str(f), str(before), n0, n1)
+        for counter in (met, firsts, steps):
+            counter.clear()
+        cols = list(zip(*((*k, *v) for k, v in sums.items()))) or [[] for _ in _SUMS]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SUMS)], schema=_SUMS)
+
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            sides, far, first = marshal.loads(raw)
+            firsts[first] += 1
+            post = [first_guess(*x) for x in sides] if model is None else model.posteriors(sides, far)
             before = 1.0
-            for i, (p, s) in enumerate(zip(post, sides)):
+            for p, x, f in zip(post, sides, far):
+                row = met.get(x)
+                if row is None:
+                    row = met[x] = [0, 0, 0]
                 if p is None:  # open: says nothing about the word that follows
-                    for table, key in ((new.end, s[0][0]), (new.end_shape, s[0][1])):
-                        table[key][0] += 0.5
-                        table[key][1] += 0.5
+                    row[0] += 1
                     continue
-                new.add(*s, p)
-                if far is not None:
-                    for a, pa_ in ((0, 1 - before), (1, before)):
-                        new.step[far[i]][a][1] += pa_ * p
-                        new.step[far[i]][a][0] += pa_ * (1 - p)
+                row[1] += 1
+                row[2] += round(p * WHOLE)
+                if model is not None:
+                    for a, w in ((0, 1 - before), (1, before)):
+                        step = steps[f, a]
+                        n1 = round(w * p * WHOLE)
+                        step[0] += round(w * WHOLE) - n1
+                        step[1] += n1
                 before = p
-            first = _right(t, 0)  # the start of a text follows a boundary
-            new.next[first[0]][1] += 1
-            new.next_shape[first[1].lstrip("~")][1] += 1
-            new.total[1] += 1
+            if len(met) > FLUSH:
+                yield flush()
+    yield flush()
+
+
+def train(texts: DataFrame) -> Model:
+    """Expectation and maximization from the first guess, over all distinct texts (text)."""
+    sc = texts.sparkSession.sparkContext
+    seen = cut(texts.select("text").distinct().mapInArrow(_sides, "seen binary"))
+    model = None
+    for _ in range(ROUNDS + 1):
+        sent = sc.broadcast(model)
+        sums = seen.mapInArrow(lambda batches, sent=sent: _weigh(sent.value, batches), "kind string, a string, b string, n0 long, n1 long")
+        rows = sums.groupBy("kind", "a", "b").agg(F.sum("n0"), F.sum("n1")).collect()
+        new = Model()
+        for kind, a, b, n0, n1 in rows:
+            new.add(kind, a, b, n0 / WHOLE, n1 / WHOLE)
         if model is not None:
-            # relative to the share of boundaries, which the odds hold already
-            for bucket in new.step:
-                share = sum(r[1] for r in bucket) / sum(sum(r) for r in bucket)
-                for r in bucket:
-                    n = sum(r)
-                    x = r[1] / n / share
-                    y = r[0] / n / max(1 - share, 1e-6)
-                    r[0], r[1] = y / (x + y), x / (x + y)
+            new.balance()
         model = new
+        sent.destroy()
     return model
 
 
@@ -332,7 +407,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     candidates, certain = gaps(text)
     cuts = set(certain)
     if candidates:
-        cuts.update(c for c, p in zip(candidates, model.posteriors(text, candidates)[0]) if p > 0.5)
+        cuts.update(c for c, p in zip(candidates, model.posteriors(*around(text, candidates))) if p > 0.5)
     out, start = [], 0
     for end in [*sorted(cuts), len(text)]:
         piece = text[start:end]
@@ -347,8 +422,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
 def segment(texts: DataFrame) -> DataFrame:
     """tbl, row_key, sent_start, sent_end for all texts (tbl, row_key, text)."""
     texts = texts.where("length(text) > 0").select("tbl", F.col("row_key").cast("long").alias("row_key"), "text")
-    sample = texts.select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(SAMPLE).collect()
-    sent = texts.sparkSession.sparkContext.broadcast(train(sorted(r[0] for r in sample)))
+    sent = texts.sparkSession.sparkContext.broadcast(train(texts))
     schema = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("sent_start", pa.int64()), ("sent_end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -354,6 +354,14 @@ def test_heading_lines_are_units(spark):
     assert got[300] == ["Summary", base[3]] and got[301] == [base[0], base[3]]
 
 
+def test_model_counts_all_distinct_texts(spark):
+    rows = [(f"W{chr(97 + i // 676)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} was seen here. It ended there.",) for i in range(8200)]
+    d = spark.createDataFrame(rows + rows[:50], "text string")
+    one, many = sentences.train(d.coalesce(1)), sentences.train(d.repartition(7))
+    assert sum(w.startswith("W") and n[1] == 1 for w, n in one.next.items()) == 8200
+    assert one.next["It"] == many.next["It"] and sum(one.next["It"]) == 8200 and one.end == many.end and one.step == many.step
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
