@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lectern import vocab
 from lectern.functions import text as T
 
-#: Shortest text that is analyzed and longest cleaned text, in characters.
-LEAST, MOST = 500, 50_000
+#: Shortest text that is analyzed, in characters.
+LEAST = 500
 _BOUNDARY = "array<struct<start_idx:int,section_type:string,confidence:double,header_text:string>>"
 
 
@@ -270,13 +270,15 @@ def short_overview(contributions: Column, methodology: Column, results: Column)
     return F.concat_ws(" ", *first)
 
 
-def analyze(documents: DataFrame, key: str, text: str) -> DataFrame:
+def analyze(documents: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """Structured summary, type, domain and quality of every document, one narrow plan without a shuffle.
 
     Texts that are null or under LEAST characters get status ``too_short`` and nulls.
+    Texts are analyzed whole unless ``most`` cuts the cleaned ones to so many characters.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    d = documents.select(key, (F.length(raw) >= LEAST).alias("ok"), F.substring(T.clean_scientific(raw), 1, MOST).alias("body"))
+    clean = T.clean_scientific(raw)
+    d = documents.select(key, (F.length(raw) >= LEAST).alias("ok"), (clean if most is None else F.substring(clean, 1, most)).alias("body"))
     # one step each, so that every list is computed once
     d = d.withColumn("kept", F.when(F.col("ok"), resolved(headers(F.col("body")))))
     d = d.withColumn("rows", F.when(F.col("ok"), section_rows(F.col("body"), spans(F.col("body"), F.col("kept")))))

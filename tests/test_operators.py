@@ -131,6 +131,13 @@ def test_quality(spark):
     assert d.select(structure.level(F.lit(0.6))).first()[0] == "good"
 
 
+def test_analyze_reads_whole_texts(spark):
+    text = "The river is long and the lake is deep today.\n" * 1500 + "\nConclusion\nWe propose a new approach to parse long texts quickly.\n"
+    d = spark.createDataFrame([(1, text)], "k long, t string")
+    assert "to parse long texts" in structure.analyze(d, "k", "t").first().contributions
+    assert "to parse long texts" not in structure.analyze(d, "k", "t", 50_000).first().contributions
+
+
 def test_analyze_short_and_empty(spark):
     d = spark.createDataFrame([(1, "short"), (2, None), (3, "word " * 200 + "\n" + "We use a model based on data.\n" * 30)], "doc_id long, text string")
     got = {r.doc_id: r for r in structure.analyze(d, "doc_id", "text").collect()}
