@@ -100,9 +100,10 @@ def tokens(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_hash(codes: np.ndarray, k: int, period: int = 0) -> np.ndarray:
     """Hash of the k codes from each position; the highest value where they would cross a GAP.
 
-    Inside a run that repeats itself every ``period`` codes or fewer only the first gram
-    and every STRIDE-th after it keep their hash, else such runs would be nothing but
-    anchors.
+    Inside a run that repeats itself every ``period`` codes or fewer only every STRIDE-th
+    gram from its start and from its end keeps its hash, with the next ones up to its own
+    period, else such runs would be nothing but anchors.  Runs of different length thus
+    keep the same grams before what follows both and behind what precedes both.
     """
     n = len(codes) - k + 1
     if n <= 0:
@@ -111,12 +112,14 @@ def gram_hash(codes: np.ndarray, k: int, period: int = 0) -> np.ndarray:
     h = mix((prefix[k:] - prefix[:-k]) * powers(n, _INV))
     out = h.copy()
     if period and n > 1:
-        again = np.zeros(n, bool)
-        for p in range(1, min(period, n - 1) + 1):
-            again[p:] |= h[p:] == h[:-p]
+        again = np.zeros(n, np.int64)  # the shortest period
+        for p in range(min(period, n - 1), 0, -1):
+            again[p:][h[p:] == h[:-p]] = p
         place = np.arange(n)
-        begin = np.maximum.accumulate(np.where(again, 0, place))
-        out[again & ((place - begin) % STRIDE != 0)] = np.uint64(0xFFFFFFFFFFFFFFFF)
+        begin = np.maximum.accumulate(np.where(again > 0, 0, place))
+        finish = np.minimum.accumulate(np.where(again > 0, n, place)[::-1])[::-1] - 1
+        kept = ((place - begin) % STRIDE < again) | ((finish - place) % STRIDE < again)
+        out[(again > 0) & ~kept] = np.uint64(0xFFFFFFFFFFFFFFFF)
     gaps = np.concatenate(([0], np.cumsum(codes == GAP)))
     out[gaps[k:] != gaps[:-k]] = np.uint64(0xFFFFFFFFFFFFFFFF)
     return out

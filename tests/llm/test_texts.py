@@ -129,6 +129,18 @@ def test_hot_anchor_blocks(spark, monkeypatch):
     assert got == brute_pairs(docs) and len(got) == 78
 
 
+def test_runs_of_other_length_before_a_shared_passage(spark):
+    rng = random.Random(9)
+    docs = []
+    for i, unit in enumerate(["=", "-", "ab", "xyz", "#", "*", "~", "+-", "_", "."] * 2):
+        passage = noise(rng, [22, 60, 500, 900][i % 4])
+        for k, n in enumerate((rng.randrange(378, 400), rng.randrange(300, 500))):
+            docs.append((2 * i + k, noise(rng, 150) + (unit * 500)[-n:] + passage + noise(rng, 150)))
+            docs.append((100 + 2 * i + k, noise(rng, 150) + passage + (unit * 500)[:n] + noise(rng, 150)))
+    got = {tuple(r) for r in sharedspans.shared_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_pairs(docs) and len(got) > 20
+
+
 def test_shared_share(spark, span_docs):
     d = spark.createDataFrame([(i, t, "x") for i, t in span_docs], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in sharedspans.shared_share(d).collect()}
