@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 LATIN = ("en", "fr", "de", "es", "pt", "it", "nl")
 #: Candidate languages of a script.
 SCRIPTS = {"latin": LATIN, "cyrillic": ("ru",), "arabic": ("ar",), "devanagari": ("hi",), "thai": ("th",), "hangul": ("ko",), "greek": ("el",), "hebrew": ("he",), "kana": ("ja",), "han": ("zh", "ja")}
@@ -103,14 +105,12 @@ class Model:
                     self.grams[lang][g] += 1
         self._memo: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
 
-    def add(self, lang: str, parts: list[tuple[int, int, str, str]], context: int, weight: int = 1) -> None:
-        """Count the words of a segment; ``context`` is the number of words of its whole text."""
+    def add(self, lang: str, parts: list[tuple[int, int, str, str]], weight: int = 1) -> None:
+        """Count the words of a segment."""
         for _, _, script, word in parts:
             if lang not in SCRIPTS[script]:
                 continue
             self.words[lang][word] += weight
-            if context >= 3:
-                self.known[word] += weight
             if script == "latin":
                 for g in _trigrams(word):
                     self.grams[lang][g] += weight
@@ -189,11 +189,45 @@ class Model:
         return out
 
 
+def _known(whole: DataFrame, model: Model | None) -> dict[str, int]:
+    """How often all distinct texts hold a word in a segment of three words or more; words held once are left out.
+
+    The segments are the model's, without a model whole texts under each of their naming labels.
+    """
+    sent = whole.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            held: Counter = Counter()
+            for t, ls, ns in zip(*(c.to_pylist() for c in batch.columns)):
+                parts = units(t)
+                if model is None:
+                    own: Counter = Counter()
+                    for l, n in zip(ls, ns):
+                        own[label_code(l)] += n
+                    runs = [(lang, parts, min(n, 5)) for lang, n in own.items() if lang]
+                else:
+                    runs = [(lang, parts[a:b], 1) for _, _, lang, _, a, b in model.segments(t) if lang != "und"]
+                for lang, inside, weight in runs:
+                    if len(inside) >= 3:
+                        for _, _, script, word in inside:
+                            if lang in SCRIPTS[script]:
+                                held[word] += weight
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
+
+    rows = whole.select("t", "ls", "ns").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").collect()
+    sent.destroy()
+    return {r["word"]: r["n"] for r in rows}
+
+
 def train(texts: DataFrame, text: str, label: str) -> Model:
-    """A model from at most SAMPLE distinct texts, chosen by hash, with their most frequent naming labels."""
+    """Scores from at most SAMPLE distinct texts, chosen by hash, with their most frequent naming labels; known words from all."""
     counted = texts.where(F.length(F.trim(text)) > 0).groupBy(F.col(text).alias("t"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
     # all labels of a text have one hash, so the cut keeps or drops whole texts (but the last)
     rows = counted.orderBy(F.xxhash64("t"), "t", "l").limit(SAMPLE).collect()
+    whole = cut(counted.groupBy("t").agg(F.collect_list("l").alias("ls"), F.collect_list(F.when(F.col("l").isNotNull(), F.col("n"))).alias("ns")))
     votes: dict[str, Counter] = defaultdict(Counter)
     for t, l, n in rows:
         votes[t][label_code(l)] += n
@@ -203,7 +237,8 @@ def train(texts: DataFrame, text: str, label: str) -> Model:
         own = votes[t]
         for lang, n in own.items():
             if lang:
-                model.add(lang, parts, len(parts), min(n, 5))
+                model.add(lang, parts, min(n, 5))
+    model.known.update(_known(whole, None))
     model.fix()
     for _ in range(ROUNDS):
         new = Model()
@@ -211,7 +246,8 @@ def train(texts: DataFrame, text: str, label: str) -> Model:
             parts = units(t)
             for _, _, lang, _, a, b in model.segments(t):
                 if lang != "und":
-                    new.add(lang, parts[a:b], b - a)
+                    new.add(lang, parts[a:b])
+        new.known.update(_known(whole, model))
         model = new.fix()
     return model
 

@@ -238,6 +238,17 @@ def test_language_segments(spark):
     assert language.label_segments(queries(spark).limit(0), "run_id", "query", "query_language").count() == 0
 
 
+def test_known_words_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 4)
+    rows = [(i, f"how does the {w} help with rivers", "en") for i, w in enumerate("survey mapping model method network sensor weather harvest".split())]
+    rows += [(20 + i, f"a study of zirkonium {w} in lakes", "en") for i, w in enumerate("mapping survey model".split())] + [(50, "zirkonium", "en"), (51, "xqvrtz", "en")]
+    d = spark.createDataFrame(rows, "run_id long, query string, query_language string")
+    got = {r.key: r.lang for r in language.label_segments(d, "run_id", "query", "query_language").collect()}
+    model = language.train(d, "query", "query_language")
+    assert all(model.known[w] >= 2 for w in ("zirkonium", "survey", "mapping", "rivers", "lakes"))
+    assert got[50] != "und" and got[51] == "und"
+
+
 def test_label_spellings():
     assert [language.label_code(x) for x in ("EN", "eng", "English", "en-US", "fr_FR", "zh-Hans", "xx", "", None, "unknown")] == ["en", "en", "en", "en", "fr", "zh", None, None, None, None]
 
