@@ -26,8 +26,8 @@ from lectern.operators.sequence import lag_in_order
 
 #: Slots of the value sketch and of the word sketch of a field.
 SLOTS = 48
-#: Values kept per field over all files, to know a categorical field again.
-KNOWN_VALUES = 64
+#: Files in which a field shows a value, to know the field again by it.
+KNOWN_FILES = 3
 #: Similarity from which two fields may be one field under two names.
 SAME_CONTENT = 0.34
 
@@ -283,14 +283,10 @@ def edit_script(old: Node, new: Node, known: dict[str, set[str]]) -> tuple[float
 
 
 def known_values(profile: DataFrame) -> DataFrame:
-    """Per field the KNOWN_VALUES short values that occur in most files; bounded by the field names."""
-    from pyspark.sql import Window
-
+    """path, value: the short values of each field that occur in KNOWN_FILES files or more."""
     cells = profile.select(F.explode("fields").alias("f")).where("f.value is not null")
     seen = cells.groupBy(F.col("f.path").alias("path"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
-    top = Window.partitionBy("path").orderBy(F.desc("n"), "value")
-    seen = seen.where("n >= 3").withColumn("r", F.row_number().over(top)).where(F.col("r") <= KNOWN_VALUES)
-    return seen.groupBy("path").agg(F.collect_list("value").alias("values"), F.sum("n").alias("n"))
+    return seen.where(F.col("n") >= KNOWN_FILES).select("path", "value")
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -303,21 +299,28 @@ def changes(records: DataFrame) -> DataFrame:
     from lectern.session import cut
 
     prof = cut(profiles(records))
-    usual = {r["path"]: set(r["values"]) for r in known_values(prof).collect()}
     order = lag_in_order(prof.select("stream_id", "file_seq", "file_id"), "stream_id", "file_seq", "file_id", "prev_id")
     order = order.where("prev_id is not null").select("file_id", "prev_id")
     earlier = prof.select(F.col("file_id").alias("prev_id"), F.col("fields").alias("old_fields"))
-    pairs = prof.select("file_id", "fields").join(order, "file_id").join(earlier, "prev_id")
+    pairs = cut(prof.select("file_id", "fields").join(order, "file_id").join(earlier, "prev_id").select("file_id", "fields", "old_fields"))
+    # the values shown under new names, looked up among all values of all fields
+    shown = pairs.select("file_id", F.array_distinct("old_fields.path").alias("old"), F.explode("fields").alias("f"))
+    shown = shown.where(F.col("f.value").isNotNull() & ~F.array_contains("old", F.col("f.path"))).select("file_id", F.col("f.value").alias("value")).distinct()
+    usual = shown.join(known_values(prof), "value").groupBy("file_id").agg(F.collect_list(F.struct("path", "value")).alias("usual"))
+    pairs = pairs.join(usual, "file_id", "left")
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file_id, new, old in zip(batch["file_id"], batch["fields"], batch["old_fields"]):
-                cost, script = edit_script(tree(old), tree(new), usual)
+            for file_id, new, old, met in zip(batch["file_id"], batch["fields"], batch["old_fields"], batch["usual"]):
+                known: dict[str, set[str]] = {}
+                for x in met if met is not None else ():
+                    known.setdefault(x["path"], set()).add(x["value"])
+                cost, script = edit_script(tree(old), tree(new), known)
                 rows += [(file_id, *s, cost) for s in script]
             yield pd.DataFrame(rows, columns=["file_id", "change", "old_field", "new_field", "cost"])
 
-    return pairs.select("file_id", "fields", "old_fields").mapInPandas(
+    return pairs.select("file_id", "fields", "old_fields", "usual").mapInPandas(
         diff, "file_id long, change string, old_field string, new_field string, cost double"
     )
 

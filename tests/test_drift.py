@@ -44,6 +44,12 @@ def test_repeats_and_empty(spark):
     assert D.unified(empty, D.changes(empty)).count() == 0
 
 
+def test_rename_is_known_by_any_value_of_the_field(spark):
+    files = {(100 + 3 * i + k, 1, 1000 + 3 * i + k): [rec(topic=f"v{i:03}")] for i in range(80) for k in range(3)}
+    files |= {(1, 1, 1): [rec(topic="v000")], (1, 2, 2): [rec(zone="v079")]}
+    assert changes(spark, files) == {(2, "renamed", "response.topic", "response.zone")}
+
+
 def test_unified_reads_all_names(spark):
     files = {
         (1, 1, 1): [rec(summary_method="lsa", results=[{"paper_id": "p", "score": 0.5, "final_response": "text one"}])],
