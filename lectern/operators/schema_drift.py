@@ -1,13 +1,21 @@
 """Schemas that drift between files: change reports and one consistent table.
 
-Every file of JSON records is reduced to a *profile*: the tree of its fields with
-types, value counts and a mergeable sketch of the values.  Profiles of
-neighbouring files are compared by a top-down tree edit distance whose minimum
-cost script (add, delete, rename, move, retype) is the change report; the renames
-are then compiled into a projection that reads every file into one table.
-
-Nulls and odd input: a null or unparsable payload is ignored, a null field counts
-as absent, an empty table gives empty results, repeated rows change nothing.
+1. *Shapes.*  Every file of JSON records is reduced to the tree of its fields with types
+   and counts; no value leaves the task that read it.
+2. *Pairs.*  Each file meets the file before it in its stream.  Equal names are matched;
+   what is left is undecided only if something went and something came.
+3. *Sketches.*  For undecided fields alone, a second pass keeps mergeable minima of the
+   hashed values and words, and a third one finds out which short values the old fields
+   show in KNOWN_FILES files or more anywhere.
+4. *Script.*  A minimum-cost assignment over all fields that went and came gives renames
+   and moves, the rest is deleted and added: the edit script of the two trees.
+
+:func:`unified` composes the scripts along each stream and compiles each file's own
+mapping into the projection that reads it into one table.
+
+Nulls and odd input: a null or unparsable payload is ignored, a null field counts as
+absent, an empty table gives empty results, repeated rows change nothing.  What is sent
+to the driver is bounded by the number of field names.
 """
 
 from __future__ import annotations
@@ -23,16 +31,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.operators.sequence import lag_in_order
+from lectern.session import cut
 
-#: Slots of the value sketch and of the word sketch of a field.
-SLOTS = 48
+#: Slots of the value sketch and of the word sketch of a field; longest value that is known again by itself.
+SLOTS, SHORT = 48, 40
 #: Files in which a field shows a value, to know the field again by it.
 KNOWN_FILES = 3
-#: Similarity from which two fields may be one field under two names.
-SAME_CONTENT = 0.34
+#: Similarity from which two fields of one parent may be one field under two names, and fields of one name under two parents.
+SAME_CONTENT, SAME_MOVED = 0.34, 0.5
+#: Price of a move beside 1 - similarity.
+MOVE = 0.2
+#: Entries of a task's counters before they are handed on.
+FLUSH = 300_000
+#: File numbers of a stream that are composed in one task.
+SPAN = 1024
 
 _SCALAR = {str: "string", bool: "boolean", int: "number", float: "number"}
-_EMPTY = object()
+_EMPTY = ...  # a singleton also in other processes
 
 
 def kind_of(value) -> str:
@@ -73,56 +88,49 @@ def parse(payload) -> dict | None:
     return record if isinstance(record, dict) else None
 
 
-_PART = "file_id long, path string, kind string, slot int, h long, value string, n long, chars long"
+def _text(value) -> str:
+    return value if isinstance(value, str) else json.dumps(value)
 
 
-def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial profiles of each batch: per field a count row and its sketch minima."""
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
+
+
+def _frame(rows: list[tuple], types: dict[str, str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=list(types)).astype(types)
+
+
+def _shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per file and field: how many values and how many characters."""
+    types = {"file_id": "int64", "path": "object", "kind": "object", "n": "int64", "chars": "int64"}
+    counts: dict[tuple, list[int]] = {}
     for batch in batches:
-        counts: dict[tuple, list[int]] = {}
-        minima: dict[tuple, tuple[int, str]] = {}
         for file_id, payload in zip(batch["file_id"], batch["payload"]):
             record = parse(payload)
             for path, kind, value in walk(record, "") if record else ():
                 c = counts.setdefault((file_id, path, kind), [0, 0])
                 c[0] += 1
-                if value is _EMPTY:
-                    continue
-                text = value if isinstance(value, str) else json.dumps(value)
-                c[1] += len(text)
-                items = [(0, text)]
-                if kind == "string" and " " in text:
-                    items += [(SLOTS, w) for w in set(text.split())]
-                for base, item in items:
-                    h = xxhash.xxh64_intdigest(item) >> 1
-                    key = (file_id, path, kind, base + h % SLOTS)
-                    if key not in minima or h < minima[key][0]:
-                        minima[key] = (h, text if base == 0 and len(text) <= 40 else None)
-        rows = [(*k, -1, None, None, *c) for k, c in counts.items()]
-        rows += [(*k, h, v, 0, 0) for k, (h, v) in minima.items()]
-        yield pd.DataFrame(rows, columns=["file_id", "path", "kind", "slot", "h", "value", "n", "chars"]).astype(
-            {"h": "Int64", "file_id": "int64", "slot": "int32", "n": "int64", "chars": "int64"}
-        )
+                if value is not _EMPTY:
+                    c[1] += len(_text(value))
+        if len(counts) > FLUSH:
+            yield _frame([(*k, *c) for k, c in counts.items()], types)
+            counts.clear()
+    yield _frame([(*k, *c) for k, c in counts.items()], types)
 
 
 def profiles(records: DataFrame) -> DataFrame:
-    """One row per file: file_id, stream_id, file_seq, fields (path, kind, slot, h, value, n, chars).
+    """One row per file: file_id, stream_id, file_seq, fields (path, kind, n, chars).
 
-    ``records`` needs file_id, stream_id, file_seq and payload.  All aggregates are
-    minima and sums, so a file of any size is combined map-side; the list per file
-    is bounded by its number of fields.
+    ``records`` needs file_id, stream_id, file_seq and payload.  Sums only, combined in
+    the tasks, so a file of any size gives a few rows; the list per file is bounded by
+    its number of fields.
     """
-    parts = records.select("file_id", "payload").mapInPandas(_sketch, _PART)
-    cells = parts.groupBy("file_id", "path", "kind", "slot").agg(
-        F.min(F.struct("h", "value")).alias("m"), F.sum("n").alias("n"), F.sum("chars").alias("chars")
-    )
-    fields = cells.groupBy("file_id").agg(
-        F.collect_list(F.struct("path", "kind", "slot", "m.h", "m.value", "n", "chars")).alias("fields")
-    )
-    files = records.where(F.col("file_id").isNotNull()).groupBy("file_id").agg(
-        F.min("stream_id").alias("stream_id"), F.min("file_seq").cast("long").alias("file_seq")
-    )
-    return files.join(fields, "file_id", "left")
+    records = records.where(F.col("file_id").isNotNull())
+    parts = records.select("file_id", "payload").mapInPandas(_shape, "file_id long, path string, kind string, n long, chars long")
+    cells = parts.groupBy("file_id", "path", "kind").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars"))
+    fields = cells.groupBy("file_id").agg(F.collect_list(F.struct("path", "kind", "n", "chars")).alias("fields"))
+    files = records.groupBy("file_id").agg(F.min("stream_id").alias("stream_id"), F.min("file_seq").cast("long").alias("file_seq"))
+    return files.join(fields.hint("merge"), "file_id", "left")
 
 
 class Node:
@@ -130,36 +138,37 @@ class Node:
 
     __slots__ = ("name", "path", "kind", "n", "chars", "values", "words", "shown", "children")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kind: str = "", n: int = 0, chars: int = 0):
         self.path, self.name = path, path.rpartition(".")[2]
-        self.kind, self.n, self.chars = "", 0, 0
+        self.kind, self.n, self.chars = kind, n, chars
         self.values: dict[int, int] = {}
         self.words: dict[int, int] = {}
-        self.shown: set[str] = set()
+        self.shown: set[int] = set()
         self.children: dict[str, Node] = {}
 
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children.values())
 
+    def below(self) -> Iterator[Node]:
+        """The node and all under it."""
+        yield self
+        for c in self.children.values():
+            yield from c.below()
+
 
-def tree(fields) -> Node:
-    """The schema tree of a profile; a field of several types gets its most frequent one."""
-    by: dict[tuple[str, str], Node] = {}
-    for f in fields if fields is not None else ():
-        node = by.setdefault((f["path"], f["kind"]), Node(f["path"]))
-        node.kind = f["kind"]
-        if f["slot"] == -1:
-            node.n, node.chars = f["n"], f["chars"]
-        else:
-            (node.values if f["slot"] < SLOTS else node.words)[f["slot"]] = f["h"]
-            if f["value"] is not None:
-                node.shown.add(f["value"])
+def tree(fields, cells=None) -> Node:
+    """The schema tree of a profile, with the sketches of ``cells``; a field of several types gets its most frequent one."""
     best: dict[str, Node] = {}
-    for (path, kind), node in sorted(by.items()):
-        if path not in best or node.n > best[path].n:
-            best[path] = node
-    root = Node("")
-    root.kind = "object"
+    for f in sorted(fields if fields is not None else (), key=lambda f: (f["path"], -f["n"], f["kind"])):
+        if f["path"] not in best:
+            best[f["path"]] = Node(f["path"], f["kind"], f["n"], f["chars"])
+    for c in cells if cells is not None else ():
+        node = best.get(c["path"])
+        if node is not None and node.kind == c["kind"]:
+            (node.values if c["slot"] < SLOTS else node.words)[c["slot"]] = c["h"]
+            if c["short"]:
+                node.shown.add(c["h"])
+    root = Node("", "object")
     for path in sorted(best):
         parent = best.get(path.rpartition(".")[0], root) if "." in path else root
         parent.children[best[path].name] = best[path]
@@ -176,7 +185,7 @@ def _shared(a: dict[int, int], b: dict[int, int]) -> float:
     return sum(b.get(s) == h for s, h in a.items()) / min(len(a), len(b))
 
 
-def same_content(old: Node, new: Node, known: dict[str, set[str]]) -> float:
+def same_content(old: Node, new: Node, known: dict[str, set[int]]) -> float:
     """How likely two fields of one type are the same content under two names, 0 to 1."""
     if old.kind != new.kind:
         return 0.0
@@ -236,57 +245,132 @@ def assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
-def edit_script(old: Node, new: Node, known: dict[str, set[str]]) -> tuple[float, list[tuple[str, str, str]]]:
-    """Cost and script of the cheapest top-down edit between two schema trees.
+def unmatched(old: Node, new: Node) -> tuple[list[tuple[Node, Node]], list[tuple[str, Node]], list[tuple[str, Node]]]:
+    """(retyped pairs, fields that went, fields that came) of two trees; both lists with the parent's path.
 
-    A child keeps its name for free, changes type for 1 plus the difference of what
-    is inside, is renamed for 1 - similarity (same parent, same type, similarity of
-    SAME_CONTENT or more) and otherwise deleted and inserted at one per node.
-    Deleted and inserted subtrees of like content under different parents make a
-    move.  Only the topmost changed object is reported.
+    A name on both sides is one field, whatever its type; objects on both sides are compared inside.
     """
-    cost, script, gone, came = 0.0, [], [], []
-    todo = [(old, new)]
+    retyped, gone, came, todo = [], [], [], [(old, new)]
     while todo:
         a, b = todo.pop()
-        for name in a.children.keys() & b.children.keys():
+        for name in sorted(a.children.keys() & b.children.keys()):
             x, y = a.children[name], b.children[name]
             if x.kind == y.kind:
                 todo.append((x, y))
             else:
-                cost += 1 + (x.size() - 1) + (y.size() - 1)
-                script.append(("retyped", x.path, y.path))
-        left = [a.children[n] for n in sorted(a.children.keys() - b.children.keys())]
-        right = [b.children[n] for n in sorted(b.children.keys() - a.children.keys())]
-        taken = set()
-        if left and right:
-            close = [[same_content(x, y, known) for y in right] for x in left]
-            # one extra column per row stands for "no counterpart" at the price of delete and insert
-            table = [[(1 - s) if s >= SAME_CONTENT else 9.0 for s in row] + [1.0] * len(left) for row in close]
-            for i, j in enumerate(assign(table)):
-                if j < len(right) and close[i][j] >= SAME_CONTENT:
-                    taken |= {("l", i), ("r", j)}
-                    cost += 1 - close[i][j]
-                    script.append(("renamed", left[i].path, right[j].path))
-        gone += [x for i, x in enumerate(left) if ("l", i) not in taken]
-        came += [y for j, y in enumerate(right) if ("r", j) not in taken]
-    moved = set()
-    for x in gone:
-        for y in came:
-            if y.path not in moved and x.name == y.name and _shared(x.values, y.values) >= 0.5:
-                moved |= {y.path}
-                script.append(("moved", x.path, y.path))
-                break
-    cost += sum(x.size() for x in gone) + sum(y.size() for y in came) - 1.5 * len(moved)
-    script += [("removed", x.path, "") for x in gone] + [("added", "", y.path) for y in came]
+                retyped.append((x, y))
+        gone += [(a.path, a.children[n]) for n in sorted(a.children.keys() - b.children.keys())]
+        came += [(a.path, b.children[n]) for n in sorted(b.children.keys() - a.children.keys())]
+    return retyped, gone, came
+
+
+def undecided(old: Node, new: Node) -> tuple[set[str], set[str]]:
+    """Paths of both sides whose content decides between a rename or move and a removal with an addition."""
+    _, gone, came = unmatched(old, new)
+    olds, news = set(), set()
+    for p, x in gone:
+        for q, y in came:
+            if x.kind == y.kind and (p == q or x.name == y.name):
+                olds |= {n.path for n in x.below()}
+                news |= {n.path for n in y.below()}
+    return olds, news
+
+
+def edit_script(old: Node, new: Node, known: dict[str, set[int]]) -> tuple[float, list[tuple[str, str, str]]]:
+    """Cost and script of the cheapest edit between two schema trees.
+
+    A field keeps its name for free and changes type for 1 plus what is inside.  All
+    fields that went and came enter one minimum-cost assignment: a rename under the same
+    parent costs 1 - similarity, a move of a name to another parent MOVE more, no
+    counterpart the price of a deletion and an insertion.  Only the topmost changed
+    object is reported; a move also shows as its removal and addition.
+    """
+    retyped, gone, came = unmatched(old, new)
+    cost = float(sum(x.size() + y.size() - 1 for x, y in retyped))
+    script = [("retyped", x.path, y.path) for x, y in retyped]
+    close = [[same_content(x, y, known) if p == q or x.name == y.name else 0.0 for q, y in came] for p, x in gone]
+    price = [
+        [1 - s if p == q and s >= SAME_CONTENT else 1 - s + MOVE if p != q and s >= SAME_MOVED else 9.0 for (q, _), s in zip(came, row)] + [1.0] * len(gone)
+        for (p, _), row in zip(gone, close)
+    ]
+    left, right = set(range(len(gone))), set(range(len(came)))
+    for i, j in enumerate(assign(price) if gone and came else ()):
+        if j < len(came) and price[i][j] < 9.0:
+            cost += price[i][j]
+            if gone[i][0] == came[j][0]:
+                left.discard(i)
+                right.discard(j)
+                script.append(("renamed", gone[i][1].path, came[j][1].path))
+            else:
+                cost -= gone[i][1].size() + came[j][1].size()
+                script.append(("moved", gone[i][1].path, came[j][1].path))
+    cost += sum(gone[i][1].size() for i in left) + sum(came[j][1].size() for j in right)
+    script += [("removed", gone[i][1].path, "") for i in sorted(left)] + [("added", "", came[j][1].path) for j in sorted(right)]
     return cost, script
 
 
-def known_values(profile: DataFrame) -> DataFrame:
-    """path, value: the short values of each field that occur in KNOWN_FILES files or more."""
-    cells = profile.select(F.explode("fields").alias("f")).where("f.value is not null")
-    seen = cells.groupBy(F.col("f.path").alias("path"), F.col("f.value").alias("value")).agg(F.count("*").alias("n"))
-    return seen.where(F.col("n") >= KNOWN_FILES).select("path", "value")
+def _wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """file_id, path, old: the undecided fields of each pair of files, under the file that holds them."""
+    for batch in batches:
+        rows = []
+        for file_id, prev_id, new, old in zip(batch["file_id"], batch["prev_id"], batch["fields"], batch["old_fields"]):
+            olds, news = undecided(tree(old), tree(new))
+            rows += [(prev_id, p, True) for p in olds] + [(file_id, p, False) for p in news]
+        yield _frame(rows, {"file_id": "int64", "path": "object", "old": "bool"})
+
+
+def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Slot minima of the hashed values and words of the wanted fields of each file."""
+    types = {"file_id": "int64", "path": "object", "kind": "object", "slot": "int32", "h": "int64", "short": "bool"}
+    minima: dict[tuple, tuple[int, bool]] = {}
+    for batch in batches:
+        for file_id, payload, paths in zip(batch["file_id"], batch["payload"], batch["paths"]):
+            record, wanted = parse(payload), set(paths)
+            for path, kind, value in walk(record, "") if record else ():
+                if value is _EMPTY or path not in wanted:
+                    continue
+                text = _text(value)
+                items = [(0, text)]
+                if kind == "string" and " " in text:
+                    items += [(SLOTS, w) for w in set(text.split())]
+                for base, item in items:
+                    h = _hash(item)
+                    key = (file_id, path, kind, base + h % SLOTS)
+                    if key not in minima or h < minima[key][0]:
+                        minima[key] = (h, base == 0 and len(text) <= SHORT)
+        if len(minima) > FLUSH:
+            yield _frame([(*k, *v) for k, v in minima.items()], types)
+            minima.clear()
+    yield _frame([(*k, *v) for k, v in minima.items()], types)
+
+
+def known_values(records: DataFrame, paths: set[str]) -> DataFrame:
+    """path, h: the short values that a field of ``paths`` shows in KNOWN_FILES files or more, over all files.
+
+    A task hands on at most KNOWN_FILES files of a value, which is enough to count up to there.
+    """
+    types = {"path": "object", "h": "int64", "file_id": "int64"}
+
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[str, int], set[int]] = {}
+        for batch in batches:
+            for file_id, payload in zip(batch["file_id"], batch["payload"]):
+                record = parse(payload)
+                for path, _, value in walk(record, "") if record else ():
+                    if value is _EMPTY or path not in paths:
+                        continue
+                    text = _text(value)
+                    if len(text) <= SHORT:
+                        files = seen.setdefault((path, _hash(text)), set())
+                        if len(files) < KNOWN_FILES:
+                            files.add(file_id)
+            if len(seen) > FLUSH:
+                yield _frame([(*k, f) for k, files in seen.items() for f in files], types)
+                seen.clear()
+        yield _frame([(*k, f) for k, files in seen.items() for f in files], types)
+
+    found = records.where(F.col("file_id").isNotNull()).select("file_id", "payload").mapInPandas(met, "path string, h long, file_id long")
+    return found.distinct().groupBy("path", "h").agg(F.count("*").alias("n")).where(F.col("n") >= KNOWN_FILES).select("path", "h")
 
 
 def changes(records: DataFrame) -> DataFrame:
@@ -296,58 +380,52 @@ def changes(records: DataFrame) -> DataFrame:
     added, removed, renamed, retyped or moved (moved rows repeat a removed and an
     added one).  cost is the edit distance of the two files.
     """
-    from lectern.session import cut
-
     prof = cut(profiles(records))
     order = lag_in_order(prof.select("stream_id", "file_seq", "file_id"), "stream_id", "file_seq", "file_id", "prev_id")
     order = order.where("prev_id is not null").select("file_id", "prev_id")
     earlier = prof.select(F.col("file_id").alias("prev_id"), F.col("fields").alias("old_fields"))
-    pairs = cut(prof.select("file_id", "fields").join(order, "file_id").join(earlier, "prev_id").select("file_id", "fields", "old_fields"))
-    # the values shown under new names, looked up among all values of all fields
-    shown = pairs.select("file_id", F.array_distinct("old_fields.path").alias("old"), F.explode("fields").alias("f"))
-    shown = shown.where(F.col("f.value").isNotNull() & ~F.array_contains("old", F.col("f.path"))).select("file_id", F.col("f.value").alias("value")).distinct()
-    usual = shown.join(known_values(prof), "value").groupBy("file_id").agg(F.collect_list(F.struct("path", "value")).alias("usual"))
-    pairs = pairs.join(usual, "file_id", "left")
+    # the size of a checkpoint is not known to the planner, so no side is left to be broadcast
+    pairs = prof.select("file_id", "fields").join(order.hint("merge"), "file_id")
+    pairs = cut(pairs.join(earlier.hint("merge"), "prev_id").select("file_id", "prev_id", "fields", "old_fields"))
+    wanted = cut(pairs.mapInPandas(_wanted, "file_id long, path string, old boolean").distinct())
+    old_paths = {r["path"] for r in wanted.where("old").select("path").distinct().collect()}
+    asked = wanted.groupBy("file_id").agg(F.collect_set("path").alias("paths"))
+    sketched = records.select("file_id", "payload").join(asked.hint("merge"), "file_id")
+    sketched = sketched.mapInPandas(_sketch, "file_id long, path string, kind string, slot int, h long, short boolean")
+    sketched = sketched.groupBy("file_id", "path", "kind", "slot").agg(F.min(F.struct("h", "short")).alias("m"))
+    cells = cut(sketched.groupBy("file_id").agg(F.collect_list(F.struct("path", "kind", "slot", "m.h", "m.short")).alias("cells")))
+    # the short values under names that came, looked up among all values of the fields that went
+    came = wanted.where("not old").groupBy("file_id").agg(F.collect_set("path").alias("news"))
+    went = wanted.where("old").groupBy(F.col("file_id").alias("prev_id")).agg(F.collect_set("path").alias("olds"))
+    shown = cells.join(came.hint("merge"), "file_id").select("file_id", "news", F.explode("cells").alias("c"))
+    shown = shown.where(F.col("c.short") & F.array_contains("news", F.col("c.path"))).select("file_id", F.col("c.h").alias("h")).distinct()
+    usual = shown.join(known_values(records, old_paths).hint("merge"), "h").join(order.hint("merge"), "file_id").join(went.hint("merge"), "prev_id")
+    usual = usual.where(F.array_contains("olds", F.col("path"))).groupBy("file_id").agg(F.collect_list(F.struct("path", "h")).alias("usual"))
+    full = pairs.join(cells.hint("merge"), "file_id", "left")
+    full = full.join(cells.select(F.col("file_id").alias("prev_id"), F.col("cells").alias("old_cells")).hint("merge"), "prev_id", "left")
+    full = full.join(usual.hint("merge"), "file_id", "left")
 
     def diff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file_id, new, old, met in zip(batch["file_id"], batch["fields"], batch["old_fields"], batch["usual"]):
-                known: dict[str, set[str]] = {}
+            for file_id, new, old, cells, old_cells, met in zip(*(batch[c] for c in ("file_id", "fields", "old_fields", "cells", "old_cells", "usual"))):
+                known: dict[str, set[int]] = {}
                 for x in met if met is not None else ():
-                    known.setdefault(x["path"], set()).add(x["value"])
-                cost, script = edit_script(tree(old), tree(new), known)
+                    known.setdefault(x["path"], set()).add(x["h"])
+                cost, script = edit_script(tree(old, old_cells), tree(new, cells), known)
                 rows += [(file_id, *s, cost) for s in script]
             yield pd.DataFrame(rows, columns=["file_id", "change", "old_field", "new_field", "cost"])
 
-    return pairs.select("file_id", "fields", "old_fields", "usual").mapInPandas(
+    return full.select("file_id", "fields", "old_fields", "cells", "old_cells", "usual").mapInPandas(
         diff, "file_id long, change string, old_field string, new_field string, cost double"
     )
 
 
-#: The columns of the consistent table: name, type, path.
-RUN_COLUMNS = [
-    ("query", "string", "query"), ("query_language", "string", "response.query_language"), ("intent", "string", "response.intent"),
-    ("expanded_query", "string", "response.expanded_query"), ("api_used", "string", "response.api_used"),
-    ("processing_mode", "string", "response.processing_mode"), ("summary_method", "string", "response.summary_method"),
-    ("timestamp", "string", "response.timestamp"), ("entities", "string", "response.entities"), ("performance", "string", "response.performance"),
-]
-RESULT_COLUMNS = [
-    ("paper_id", "string", "response.results.paper_id"), ("title", "string", "response.results.title"), ("link", "string", "response.results.link"),
-    ("year", "long", "response.results.year"), ("authors", "string", "response.results.authors"), ("score", "double", "response.results.score"),
-    ("method", "string", "response.results.method"), ("final_response", "string", "response.results.final_response"),
-    ("abstract_summary", "string", "response.results.abstract_summary"), ("abstractive_summary", "string", "response.results.abstractive_summary"),
-    ("paper_focus", "string", "response.results.paper_focus"), ("contribution", "string", "response.results.contribution"),
-    ("key_terms", "string", "response.results.key_terms"), ("ollama_summary", "string", "response.results.ollama_summary"), ("summaries", "string", "response.results.summaries"),
-]
-
-
-def canonical_names(renames: list[tuple[str, str, int]], fixed: set[str]) -> dict[str, str]:
-    """Field path -> canonical path, from (old, new, files) counts.
-
-    Names joined by renames in a majority of their files form one component; its
-    canonical name is the one in ``fixed``, else the most used.  Two fixed names
-    are never joined.
+def canonical_names(renames: list[tuple[str, str, int]]) -> dict[str, str]:
+    """Field path -> one path for all streams, from (old, new, files) counts of first names and their renames.
+
+    Names joined by renames form one component, the most frequent joins first; its
+    canonical name is the one that is most often the older one, then the first by name.
     """
     parent: dict[str, str] = {}
 
@@ -356,26 +434,70 @@ def canonical_names(renames: list[tuple[str, str, int]], fixed: set[str]) -> dic
             x = parent[x]
         return x
 
-    use: Counter = Counter()
-    for old, new, n in renames:
-        use[old] += n
-        use[new] += n
-    holds: dict[str, set[str]] = defaultdict(set)
-    for name in list(use):
-        holds[find(name)] = {name} & fixed
+    older: Counter = Counter()
     for old, new, n in sorted(renames, key=lambda r: (-r[2], r[0], r[1])):
+        older[old] += n
+        older[new] -= n
         a, b = find(old), find(new)
-        if a != b and len(holds[a] | holds[b]) <= 1:
+        if a != b:
             parent[b] = a
-            holds[a] |= holds[b]
     groups: dict[str, list[str]] = defaultdict(list)
-    for name in use:
+    for name in older:
         groups[find(name)].append(name)
-    out = {}
-    for top, names in groups.items():
-        main = next(iter(holds[top]), None) or max(sorted(names), key=lambda x: use[x])
-        out |= dict.fromkeys(names, main)
-    return out
+    return {name: min(names, key=lambda x: (-older[x], x)) for names in groups.values() for name in names}
+
+
+def compose(memory: dict[str, str], paths: list[str], renames: dict[str, str]) -> dict[str, str]:
+    """The first name of each path of a file; ``memory`` (path -> first name so far) is carried on.
+
+    ``renames`` leads from the new to the old path.  What is inside a renamed object
+    goes with it.  A path that comes back after a gap keeps what it was called before.
+    """
+    back: dict[str, str] = {}
+    now: dict[str, str] = {}
+    for p in sorted(paths):
+        parent, dot, leaf = p.rpartition(".")
+        old = renames.get(p)
+        if old is None:
+            old = f"{back.get(parent, parent)}.{leaf}" if dot else p
+        back[p] = old
+        now[p] = memory.get(old, old)
+    memory.update(now)
+    return now
+
+
+def file_fields(records: DataFrame, script: DataFrame) -> DataFrame:
+    """file_id, path, kind, n, first: every field of every file with its first name in the stream.
+
+    Scripts compose, so each block of SPAN file numbers is composed by itself, then one
+    row per block along the stream.
+    """
+    prof = profiles(records).select("file_id", "stream_id", "file_seq", F.floor(F.col("file_seq") / SPAN).cast("long").alias("block"), "fields")
+    renamed = script.where("change in ('renamed', 'moved')").groupBy("file_id").agg(F.collect_list(F.struct("new_field", "old_field")).alias("renames"))
+    files = cut(prof.where("fields is not null").join(renamed.hint("merge"), "file_id", "left"))
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        memory: dict[str, str] = {}
+        rows = []
+        for stream, block, file_id, fields, renames in zip(*(pdf.sort_values(["file_seq", "file_id"])[c] for c in ("stream_id", "block", "file_id", "fields", "renames"))):
+            now = compose(memory, [f["path"] for f in fields], {r["new_field"]: r["old_field"] for r in renames} if renames is not None else {})
+            rows += [(stream, block, file_id, f["path"], f["kind"], f["n"], now[f["path"]]) for f in fields]
+        rows += [(stream, block, None, p, None, None, q) for p, q in memory.items()]
+        return pd.DataFrame(rows, columns=["stream_id", "block", "file_id", "path", "kind", "n", "first"]).astype({"file_id": "Int64", "n": "Int64"})
+
+    def of_stream(pdf: pd.DataFrame) -> pd.DataFrame:
+        memory: dict[str, str] = {}
+        rows = []
+        for (stream, block), own in pdf.groupby(["stream_id", "block"], sort=True):
+            rows += [(stream, block, q, memory.get(q, q)) for q in dict.fromkeys(own["first"])]
+            memory.update({p: memory.get(q, q) for p, q in zip(own["path"], own["first"])})
+        return pd.DataFrame(rows, columns=["stream_id", "block", "first", "origin"])
+
+    within = cut(files.groupBy("stream_id", "block").applyInPandas(of_block, "stream_id long, block long, file_id long, path string, kind string, n long, first string"))
+    ends = within.where("file_id is null").select("stream_id", "block", "path", "first")
+    starts = ends.groupBy("stream_id").applyInPandas(of_stream, "stream_id long, block long, first string, origin string")
+    out = within.where("file_id is not null").join(starts.hint("merge"), ["stream_id", "block", "first"])
+    return out.select("file_id", "path", "kind", "n", F.col("origin").alias("first"))
 
 
 def as_text(value) -> str | None:
@@ -389,54 +511,108 @@ def as_text(value) -> str | None:
     return json.dumps(value, ensure_ascii=False, sort_keys=True)
 
 
-def _number(value, make):
+def _number(value) -> float | None:
     try:
-        return make(float(as_text(value)))
+        return float(as_text(value))
     except (TypeError, ValueError, OverflowError):
         return None
 
 
-def unified(records: DataFrame, script: DataFrame) -> DataFrame:
-    """One row per run and result, under canonical names and types, whatever file it came from.
+def _truth(value) -> bool | None:
+    return value if isinstance(value, bool) else {"true": True, "false": False}.get(str(as_text(value)).strip().lower())
+
 
-    ``script`` is the output of :func:`changes`; its distinct renames (bounded by the
-    number of field names) are compiled into one projection.  Runs without results
-    give one row with null result columns; unparsable lines give none.
+def column_names(paths: list[str], taken: set[str]) -> dict[str, str]:
+    """A column name for each path: its last part, the whole path where that is not unique."""
+    last = Counter(p.rpartition(".")[2].lower() for p in paths)
+    out, used = {}, set(taken)
+    for p in sorted(paths):
+        leaf = p.rpartition(".")[2]
+        name = leaf if last[leaf.lower()] == 1 and leaf.lower() not in taken else p.replace(".", "_")
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out[p] = name
+    return out
+
+
+def unified(records: DataFrame, script: DataFrame, rows_of: str = "response.results") -> DataFrame:
+    """One row per record and element of the array ``rows_of``, whatever file it came from.
+
+    ``records`` has record_id, file_id, stream_id, file_seq and payload; ``script`` is the
+    output of :func:`changes`.  Every field of every file has a column, named and typed by
+    its first name and its most frequent type over all files; arrays and retyped objects
+    come as text.  A value that its column's type can't hold is kept in ``other_values``
+    under the column's name.  Records without elements give one row with a null
+    result_rank; unparsable lines give none.
     """
-    fixed = {p for _, _, p in RUN_COLUMNS + RESULT_COLUMNS}
-    pairs = script.where("change = 'renamed'").groupBy("old_field", "new_field").agg(F.count("*").alias("n")).collect()
-    names = canonical_names([(r[0], r[1], r[2]) for r in pairs], fixed)
-    alias: dict[str, list[str]] = defaultdict(list)
-    for name, main in sorted(names.items()):
-        if name != main:
-            alias[main].append(name.rpartition(".")[2])
-
-    def pick(holder: dict, path: str):
-        for key in [path.rpartition(".")[2], *alias[path]]:
-            if holder.get(key) is not None:
-                return holder[key]
-        return None
+    fields = cut(file_fields(records, script))
+    joined = fields.where("path <> first").groupBy(F.col("first").alias("old"), F.col("path").alias("new")).agg(F.count("*").alias("n"))
+    names = canonical_names([(r["old"], r["new"], r["n"]) for r in joined.collect()])
+    whole = names.get(rows_of, rows_of)
+    wide = fields.groupBy("file_id").agg(F.collect_list(F.struct("path", "first", "kind", "n")).alias("fields"))
 
-    columns = RUN_COLUMNS + RESULT_COLUMNS
-    cast = {"string": as_text, "long": lambda v: _number(v, int), "double": lambda v: _number(v, float)}
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file_id, own in zip(batch["file_id"], batch["fields"]):
+                taken: dict[str, str] = {}  # column -> path; two fields of a file never share a column
+                for f in sorted(own, key=lambda f: (names.get(f["first"], f["first"]) != f["path"], f["path"])):
+                    to = names.get(f["first"], f["first"])
+                    if taken.setdefault(to, f["path"]) != f["path"]:
+                        to = f["path"] if taken.setdefault(f["path"], f["path"]) == f["path"] else f"{f['path']}.again"
+                        taken[to] = f["path"]
+                    rows.append((file_id, f["path"], to, f["kind"], f["n"]))
+            yield pd.DataFrame(rows, columns=["file_id", "path", "to", "kind", "n"])
+
+    mapped = cut(wide.mapInPandas(resolve, "file_id long, path string, to string, kind string, n long"))
+    kinds: dict[str, Counter] = defaultdict(Counter)
+    for r in mapped.groupBy("to", "kind").agg(F.sum("n").alias("n")).collect():
+        kinds[r["to"]][r["kind"]] += r["n"]
+    rank = ["number", "boolean", "string", "array"]
+    kind = {to: min((k for k in c if k != "object"), key=lambda k: (-c[k], rank.index(k))) for to, c in kinds.items() if set(c) != {"object"} and to != whole}
+    column = column_names(list(kind), {"record_id", "file_id", "result_rank", "other_values"})
+    order = sorted(kind, key=lambda p: column[p])
+    sql = {"number": "double", "boolean": "boolean"}
+    make = {to: {"number": _number, "boolean": _truth}.get(k, as_text) for to, k in kind.items()}
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for record_id, file_id, payload in zip(batch["record_id"], batch["file_id"], batch["payload"]):
+            for record_id, file_id, payload, pairs in zip(batch["record_id"], batch["file_id"], batch["payload"], batch["mapping"]):
                 record = parse(payload)
                 if record is None:
                     continue
-                response = record.get("response")
-                response = response if isinstance(response, dict) else {}
-                head = [cast[t](pick(response if "." in p else record, p)) for _, t, p in RUN_COLUMNS]
-                results = response.get("results")
-                results = [r for r in results if isinstance(r, dict)] if isinstance(results, list) else []
-                for rank, result in enumerate(results or [{}], 1):
-                    tail = [cast[t](pick(result, p)) for _, t, p in RESULT_COLUMNS]
-                    rows.append([record_id, file_id, rank if results else None, *head, *tail])
-            out = pd.DataFrame(rows, columns=["record_id", "file_id", "result_rank", *(c for c, _, _ in columns)], dtype=object)
-            yield out
-
-    kinds = "record_id long, file_id long, result_rank int, " + ", ".join(f"`{c}` {t}" for c, t, _ in columns)
-    return records.select("record_id", "file_id", "payload").mapInPandas(project, kinds)
+                to = {m["path"]: m["to"] for m in pairs} if pairs is not None else {}
+
+                def fill(holder: dict, path: str, row: dict, rest: dict, to=to) -> list:
+                    found = []
+                    for name, child in holder.items():
+                        if child is None:
+                            continue
+                        at = f"{path}.{name}" if path else name
+                        place = to.get(at)
+                        if place == whole:
+                            found += [(at, x) for x in (child if isinstance(child, list) else [child]) if isinstance(x, dict)]
+                            continue
+                        if place in kind and not (isinstance(child, dict) and kind[place] in ("number", "boolean")):
+                            value = make[place](child)
+                            if value is None:
+                                rest[column[place]] = as_text(child)
+                            row[place] = value
+                        if isinstance(child, dict):
+                            found += fill(child, at, row, rest)
+                    return found
+
+                head: dict = {}
+                rest: dict = {}
+                elements = fill(record, "", head, rest)
+                for i, (at, element) in enumerate(elements or [("", {})], 1):
+                    row, other = dict(head), dict(rest)
+                    fill(element, at, row, other)
+                    rows.append([record_id, file_id, i if elements else None, *[row.get(p) for p in order], other or None])
+            yield pd.DataFrame(rows, columns=["record_id", "file_id", "result_rank", *[column[p] for p in order], "other_values"], dtype=object)
+
+    schema = "record_id long, file_id long, result_rank int, " + "".join(f"`{column[p]}` {sql.get(kind[p], 'string')}, " for p in order) + "other_values map<string,string>"
+    mapping = mapped.groupBy("file_id").agg(F.collect_list(F.struct("path", "to")).alias("mapping"))
+    return records.select("record_id", "file_id", "payload").join(mapping.hint("merge"), "file_id", "left").mapInPandas(project, schema)

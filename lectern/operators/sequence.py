@@ -22,7 +22,7 @@ def lag_in_order(df: DataFrame, key: str, order: str, value: str, out: str, span
     last = d.groupBy(key, "__block").agg(F.max(F.struct(order, value)).alias("__last"))
     before = Window.partitionBy(key).orderBy("__block")
     last = last.select(key, "__block", F.lag(f"__last.{value}").over(before).alias("__before"))
-    d = d.join(last, [key, "__block"], "left")
+    d = d.join(last.hint("merge"), [key, "__block"], "left")
     return d.select(*df.columns, F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__lag")).alias(out))
 
 

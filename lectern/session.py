@@ -29,10 +29,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
     ``spark.checkpoint.dir`` is read from the session.  Only where it is unset
-    (tests on one machine) a temporary folder is used.
+    (tests on one machine) a temporary folder is used; a cluster has to name one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-"))
     return df.checkpoint(eager=True)
