@@ -5,8 +5,14 @@ scored by word and character-trigram frequencies; Viterbi with a switching penal
 labels the sequence, so that a borrowed term makes no segment but a sentence does.
 
 The frequencies are trained on the table's own labels: a bounded sample of distinct
-labelled texts, relabelled by the model itself for a few rounds so that wrong labels
-lose their weight.  A few function words per language start the training.
+labelled texts (SAMPLE in expectation, chosen by a hash of the text), relabelled by the
+model itself for a few rounds so that wrong labels lose their weight.  A text's labels
+share its weight, so that the majority of a frequent text outweighs its wrong labels.  A
+few function words per language start the training.  Languages beyond the usual ones of
+a script become candidates when LEAST texts of the sample bear their label.
+
+Whether a Latin text holds more than names is decided by the words of all texts: those
+that the sample doesn't know are looked up in counts over the whole table.
 
 Null and empty texts have no segments.  A text without a word of any known
 vocabulary (names, numbers) has one segment ``und``.
@@ -28,8 +34,12 @@ from lectern.session import cut
 LATIN = ("en", "fr", "de", "es", "pt", "it", "nl")
 #: Candidate languages of a script.
 SCRIPTS = {"latin": LATIN, "cyrillic": ("ru",), "arabic": ("ar",), "devanagari": ("hi",), "thai": ("th",), "hangul": ("ko",), "greek": ("el",), "hebrew": ("he",), "kana": ("ja",), "han": ("zh", "ja")}
-#: Distinct labelled texts the model is trained on at most.
-SAMPLE = 30_000
+#: Further languages of a script, candidates when the labels name them.
+MORE = {"latin": ("sv", "pl", "tr", "da", "fi", "no", "cs"), "cyrillic": ("uk",)}
+#: Distinct labelled texts the model is trained on in expectation; texts with the label of a further language that make it a candidate.
+SAMPLE, LEAST = 30_000, 50
+#: Weight of a text in the first round, at most.
+VOTES = 5
 #: Rounds of relabelling.
 ROUNDS = 3
 #: Price of a change of language.
@@ -93,7 +103,8 @@ def _trigrams(word: str) -> list[str]:
 class Model:
     """Word, trigram and character frequencies per language."""
 
-    def __init__(self):
+    def __init__(self, scripts: dict[str, tuple[str, ...]] = SCRIPTS):
+        self.scripts = scripts
         self.words: dict[str, Counter] = defaultdict(Counter)
         self.grams: dict[str, Counter] = defaultdict(Counter)
         self.known: Counter = Counter()
@@ -105,10 +116,10 @@ class Model:
                     self.grams[lang][g] += 1
         self._memo: dict[tuple[str, str], tuple[dict[str, float], float]] = {}
 
-    def add(self, lang: str, parts: list[tuple[int, int, str, str]], weight: int = 1) -> None:
+    def add(self, lang: str, parts: list[tuple[int, int, str, str]], weight: float = 1) -> None:
         """Count the words of a segment."""
         for _, _, script, word in parts:
-            if lang not in SCRIPTS[script]:
+            if lang not in self.scripts[script]:
                 continue
             self.words[lang][word] += weight
             if script == "latin":
@@ -128,7 +139,7 @@ class Model:
         got = self._memo.get(key)
         if got is not None:
             return got
-        candidates = SCRIPTS[script]
+        candidates = self.scripts[script]
         if len(candidates) == 1:
             out = {candidates[0]: 0.0}
         else:
@@ -149,12 +160,15 @@ class Model:
         self._memo[key] = out
         return out
 
-    def segments(self, text: str, switch: float = SWITCH) -> list[tuple[int, int, str, float, int, int]]:
-        """(start, end, language, confidence, first unit, last unit + 1) in reading order."""
+    def segments(self, text: str, switch: float = SWITCH, words: bool = False) -> list[tuple[int, int, str, float, int, int]]:
+        """(start, end, language, confidence, first unit, last unit + 1) in reading order.
+
+        ``words`` tells that the text is known to hold more than names.
+        """
         parts = units(text)
         if not parts:
             return [(0, len(text), "und", 1.0, 0, 0)] if text.strip() else []
-        if all(s == "latin" for _, _, s, _ in parts) and not any(self.known[w] >= 2 and len(w) > 1 for *_, w in parts):
+        if not words and all(s == "latin" for _, _, s, _ in parts) and not any(self.known[w] >= 2 and len(w) > 1 for *_, w in parts):
             return [(0, len(text), "und", 1.0, 0, len(parts))]
         scores = [self.score(s, w) for _, _, s, w in parts]
         floors = [-(CHAR if s in ("kana", "han") else WORD) for _, _, s, _ in parts]
@@ -189,71 +203,82 @@ class Model:
         return out
 
 
-def _known(whole: DataFrame, model: Model | None) -> dict[str, int]:
-    """How often all distinct texts hold a word in a segment of three words or more; words held once are left out.
+def _held(model: Model, text: str) -> Iterator[str]:
+    """The words of the text's segments of three words or more."""
+    parts = units(text)
+    for _, _, lang, _, a, b in model.segments(text):
+        if lang != "und" and b - a >= 3:
+            yield from (word for _, _, script, word in parts[a:b] if lang in model.scripts[script])
 
-    The segments are the model's, without a model whole texts under each of their naming labels.
-    """
-    sent = whole.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            held: Counter = Counter()
-            for t, ls, ns in zip(*(c.to_pylist() for c in batch.columns)):
-                parts = units(t)
-                if model is None:
-                    own: Counter = Counter()
-                    for l, n in zip(ls, ns):
-                        own[label_code(l)] += n
-                    runs = [(lang, parts, min(n, 5)) for lang, n in own.items() if lang]
-                else:
-                    runs = [(lang, parts[a:b], 1) for _, _, lang, _, a, b in model.segments(t) if lang != "und"]
-                for lang, inside, weight in runs:
-                    if len(inside) >= 3:
-                        for _, _, script, word in inside:
-                            if lang in SCRIPTS[script]:
-                                held[word] += weight
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], schema=schema)
-
-    rows = whole.select("t", "ls", "ns").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").collect()
-    sent.destroy()
-    return {r["word"]: r["n"] for r in rows}
-
-
-def train(texts: DataFrame, text: str, label: str) -> Model:
-    """Scores from at most SAMPLE distinct texts, chosen by hash, with their most frequent naming labels; known words from all."""
-    counted = texts.where(F.length(F.trim(text)) > 0).groupBy(F.col(text).alias("t"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
-    # all labels of a text have one hash, so the cut keeps or drops whole texts (but the last)
-    rows = counted.orderBy(F.xxhash64("t"), "t", "l").limit(SAMPLE).collect()
-    whole = cut(counted.groupBy("t").agg(F.collect_list("l").alias("ls"), F.collect_list(F.when(F.col("l").isNotNull(), F.col("n"))).alias("ns")))
-    votes: dict[str, Counter] = defaultdict(Counter)
-    for t, l, n in rows:
-        votes[t][label_code(l)] += n
-    model = Model()
-    for t in sorted(votes):
+def votes_of(labels: list, counts: list[int]) -> dict[str, float]:
+    """The weight of each language that a text's labels name: their shares of VOTES, or of as many labels as there are."""
+    own: Counter = Counter()
+    for label, n in zip(labels, counts):
+        if code := label_code(label):
+            own[code] += n
+    total = sum(own.values())
+    return {code: n / total * min(total, VOTES) for code, n in own.items()}
+
+
+def fit(sample: list[tuple[str, list, list[int]]]) -> Model:
+    """The model of the given texts with their labels and how often each occurs."""
+    votes = {t: votes_of(ls, ns) for t, ls, ns in sorted(sample)}
+    named = Counter(max(sorted(own), key=own.get) for own in votes.values() if own)
+    scripts = {s: langs + tuple(x for x in MORE.get(s, ()) if named[x] >= LEAST) for s, langs in SCRIPTS.items()}
+    model = Model(scripts)
+    for t, own in votes.items():
         parts = units(t)
-        own = votes[t]
-        for lang, n in own.items():
-            if lang:
-                model.add(lang, parts, min(n, 5))
-    model.known.update(_known(whole, None))
+        for lang, weight in own.items():
+            model.add(lang, parts, weight)
+            if len(parts) >= 3:
+                model.known.update({w: weight for _, _, script, w in parts if lang in scripts[script]})
     model.fix()
     for _ in range(ROUNDS):
-        new = Model()
-        for t in sorted(votes):
+        new = Model(scripts)
+        for t in votes:
             parts = units(t)
             for _, _, lang, _, a, b in model.segments(t):
                 if lang != "und":
                     new.add(lang, parts[a:b])
-        new.known.update(_known(whole, model))
+                    if b - a >= 3:
+                        new.known.update(w for _, _, script, w in parts[a:b] if lang in scripts[script])
         model = new.fix()
     return model
 
 
+def train(texts: DataFrame, text: str, label: str) -> tuple[Model, DataFrame]:
+    """The model, and all distinct texts (t)."""
+    counted = texts.where(F.length(F.trim(text)) > 0).groupBy(F.col(text).alias("t"), F.col(label).alias("l")).agg(F.count("*").alias("n"))
+    whole = cut(counted.groupBy("t").agg(F.collect_list("l").alias("ls"), F.collect_list(F.when(F.col("l").isNotNull(), F.col("n"))).alias("ns")))
+    labelled = whole.where(F.size("ls") > 0)
+    n = max(labelled.count(), 1)
+    place = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.where(place < SAMPLE / n).collect()
+    return fit([(r["t"], r["ls"], r["ns"]) for r in rows]), whole.select("t")
+
+
+def _with_words(names: DataFrame, whole: DataFrame, sent) -> DataFrame:
+    """t: those of the distinct texts ``names`` that hold a word which two segments of any texts hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                held.update(_held(sent.value, t))
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(t, w) for t in batch.column(0).to_pylist() for w in {w for *_, w in units(t) if len(w) > 1}]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], ["t", "word"])
+
+    known = whole.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2").select("word")
+    return names.mapInArrow(own, "t string, word string").join(known.hint("merge"), "word", "left_semi").select("t").distinct()
+
+
 _SEGMENTS = "key long, seg_no long, start int, end int, lang string, confidence double, case boolean"
-_SCHEMA = pa.schema([("key", pa.int64()), ("seg_no", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("case", pa.bool_())])
+_SEGMENTS_SCHEMA = pa.schema([("key", pa.int64()), ("seg_no", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("case", pa.bool_())])
 
 
 def wrong(label, langs: list[str]) -> bool:
@@ -268,24 +293,39 @@ def label_segments(texts: DataFrame, key: str, text: str, label: str) -> DataFra
 
     ``case`` tells that the row's label is missing or wrong or the text has several
     languages.  Texts that occur often are decoded once per Python worker and batch run.
+    Texts of unknown Latin words only are decoded a second time, after their words were
+    looked up in the counts over all texts.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(train(texts, text, label))
+    model, whole = train(texts, text, label)
+    sent = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = sent.value, {}
         for batch in batches:
             rows = []
-            for k, t, l in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, t, l, words in zip(*(c.to_pylist() for c in batch.columns)):
                 if not t:
                     continue
-                found = memo.get(t)
+                found = memo.get((t, words))
                 if found is None:
                     if len(memo) > 50_000:
                         memo.clear()
-                    found = memo[t] = model.segments(t)
+                    found = memo[t, words] = model.segments(t, words=bool(words))
                 case = wrong(l, [s[2] for s in found])
                 rows += [(k, i, s[0], s[1], s[2], s[3], case) for i, s in enumerate(found, 1)]
-            columns = list(zip(*rows)) or [[] for _ in _SCHEMA]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+            columns = list(zip(*rows)) or [[] for _ in _SEGMENTS_SCHEMA]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS_SCHEMA)], schema=_SEGMENTS_SCHEMA)
 
-    return texts.select(F.col(key).cast("long"), text, label).mapInArrow(run, _SEGMENTS)
+    def nameless(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [t for t in batch.column(0).to_pylist() if units(t) and sent.value.segments(t)[0][2] == "und"]
+            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.string())], ["t"])
+
+    names = cut(whole.mapInArrow(nameless, "t string"))
+    saved = cut(_with_words(names, whole, sent))
+    rows = texts.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"), F.col(label).alias("l"))
+    if not saved.isEmpty():
+        rows = rows.join(saved.withColumn("words", F.lit(True)).hint("merge"), "t", "left").select("key", "t", "l", "words")
+    else:
+        rows = rows.withColumn("words", F.lit(False))
+    return rows.mapInArrow(run, _SEGMENTS)

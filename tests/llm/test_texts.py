@@ -244,8 +244,8 @@ def test_known_words_beyond_the_sample(spark, monkeypatch):
     rows += [(20 + i, f"a study of zirkonium {w} in lakes", "en") for i, w in enumerate("mapping survey model".split())] + [(50, "zirkonium", "en"), (51, "xqvrtz", "en")]
     d = spark.createDataFrame(rows, "run_id long, query string, query_language string")
     got = {r.key: r.lang for r in language.label_segments(d, "run_id", "query", "query_language").collect()}
-    model = language.train(d, "query", "query_language")
-    assert all(model.known[w] >= 2 for w in ("zirkonium", "survey", "mapping", "rivers", "lakes"))
+    model, _ = language.train(d, "query", "query_language")
+    assert model.known["zirkonium"] < 2  # found in the counts over all texts, not in the sample
     assert got[50] != "und" and got[51] == "und"
 
 
@@ -391,3 +391,19 @@ def test_queries_are_registered():
     names = entry.queries()
     assert all(f"p{n}_found" in names for n in (1, 2, 3, 4, 5, 6, 8, 9)) and "p7_assign" in names
     assert set(entry.oracle_sql()) <= set(names)
+
+
+def test_majority_of_a_frequent_text_outweighs_its_wrong_labels():
+    hot = "estuary archive reports with layered retrieval"
+    english = [(f"what are the methods for {w} in the archive", ["en"], [1]) for w in ("glacier", "reactor", "pollen", "timber")]
+    italian = [(f"quali sono i metodi per la {w} del ghiacciaio", ["it"], [1]) for w in ("gestione", "analisi", "stima", "misura")]
+    model = language.fit([(hot, ["en", "it", "de", None], [700, 15, 15]), *english, *italian])
+    assert [s[2] for s in model.segments(hot)] == ["en"]
+    assert language.votes_of(["en", "EN", "it"], [60, 30, 10]) == {"en": 4.5, "it": 0.5}
+
+
+def test_a_further_language_becomes_a_candidate_by_its_labels():
+    swedish = [(f"hur kan man förbättra {w} med hjälp av nya metoder", ["sv"], [1]) for w in (f"ord{'abcdefghij'[i // 10]}{'klmnopqrst'[i % 10]}" for i in range(60))]
+    english = [("how can one improve the archive with the help of methods", ["en"], [3])]
+    assert language.fit(swedish + english).segments("hur kan man förbättra arkivet med nya metoder")[0][2] == "sv"
+    assert "sv" not in language.fit(swedish[:20] + english).scripts["latin"]
