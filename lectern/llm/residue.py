@@ -1,11 +1,15 @@
 """Template residue, filler, error pages and script notices among real content.
 
 A regularized linear classifier over hashed word n-grams, length and title features
-judges every sentence or line of a value; a value is rejected if one of its parts is.
-Weak labels come from response statuses and phrases; sentences that speak *about* such
-things are labelled as content, so the words alone decide nothing.  The classifier is
-fitted on a bounded sample of values (SAMPLE_SEARCHED and SAMPLE_ANY) and applied to
-all.  :func:`validate` leaves one host out at a time.
+judges every sentence or line of a value by itself; a value is rejected if one of its
+parts is.  N-grams that hold a slot count in full however long the part is.
+
+Weak labels for the fit come from response statuses and common phrases: a part that
+consists of such words is residue, a long part that only mentions them is content, what
+lies between is left out, and so is what stands beside residue and nowhere else.  The
+labels take no part in the verdict.  The classifier is fitted on a bounded sample of
+values (SAMPLE_SEARCHED and SAMPLE_ANY) and applied to all.  :func:`validate` judges all
+values by classifiers that have not seen their host.
 
 Null and empty values are no cases.  Without any weakly positive value nothing is rejected.
 """
@@ -23,43 +27,49 @@ from pyspark.sql import functions as F
 
 #: Values that are searched for weakly positive ones, and values the classifier is fitted on in
 #: any case; both in expectation, chosen by a hash of the row.
-SAMPLE_SEARCHED, SAMPLE_ANY = 50_000, 6_000
+SAMPLE_SEARCHED, SAMPLE_ANY = 50_000, 12_000
 #: Hash space of the features, strength of the ridge penalty, steps of the fit.
-BITS, RIDGE, STEPS = 16, 2e-5, 200
-#: Score from which a part is residue, and the lower one for parts that a weak label confirms.
-SURE, CONFIRMED = 0.85, 0.2
+BITS, RIDGE, STEPS = 16, 2e-5, 300
+#: Score from which a part is residue.
+SURE = 0.75
+#: Least weight of an n-gram with a slot.
+SLOT_WEIGHT = 0.35
+#: Other words up to which a part with a phrase is residue by weak label, and from which on it only mentions it.
+FEW, MANY = 5, 8
+#: Folds of hosts of the validation.
+FOLDS = 5
 
 #: Unfilled slots of the usual template languages, and notes to fill one.
 SLOT = (
-    r"\{\{[^{}]*\}\}|\{%[^%]*%\}|[$#]?\{[\w.\[\]]+\}|<%=?[^%]*%>|%\([\w.\[\]]+\)[sd]|\[\[[\w.\[\]]+\]\]|@@[\w.\[\]]+@@"
+    r"\{\{[^{}]*\}\}|\{%[^%]*%\}|[$#]?\{[\w.\[\]]{3,}\}|<%=?[^%]*%>|%\([\w.\[\]]+\)[sd]|\[\[[\w.\[\]]+\]\]|@@[\w.\[\]]+@@"
     r"|__[A-Z][\w.\[\]]*__|~~[\w.\[\]]+~~|\$[A-Z][A-Z_.\[\]0-9]{2,}\$|<[A-Z][A-Z_.\[\]0-9]{3,}>|&lt;[\w.\[\]]+&gt;"
     r"|\[insert [^\]]*\]|\[[^\[\]]*(?:\[\d\])? goes here\]|<(?:enter|insert|your)\b[^>]*>|\[(?:placeholder|tbd|todo)\]"
 )
-#: Response statuses as error pages print them.
-STATUS = r"(?:4\d\d|5\d\d):? (?:Bad (?:Gateway|Request)|Forbidden|Not Found|Gateway Time-?out|Internal Server Error|Service Unavailable|Too Many Requests|Unauthorized|Gone)"
-#: Phrases of a whole sentence or line (start anchored where the words also occur in content).
+#: Response statuses as servers print them.
+STATUS = r"\b[45]\d\d:? (?:Bad (?:Gateway|Request)|Forbidden|Not Found|Gateway Time-?out|Internal Server Error|Service Unavailable|Too Many Requests|Unauthorized|Gone)"
+#: Common phrases: failed requests, error markup, stack traces, script notices, failed steps, missing pages, notes to write something.
 PHRASES = (
-    rf"^(?:HTTP/[\d.]+ |Error )?{STATUS}|^Request failed with status|^\{{\"(?:error|status|message|detail)\"|<title>{STATUS}|<h1>(?:{STATUS}|[A-Z][\w -]+)</h1>|^edge-proxy/"
-    r"|^Traceback \(most recent|^\s*File \"[^\"]+\", line \d+|^\[?(?:[A-Z]\w*)?(?:Error|ERROR|Exception): |^Connection (?:reset|refused)|^Access denied|^Your request was blocked|^You have reached the request limit|^Retry in \d+ s|^Incident \w+"
-    r"|^(?:The|This) (?:page|site) (?:you are looking for|cannot be|is down|could not)|(?:page|Seite|Página|página)\b.{0,12}(?:introuvable|nicht gefunden|no encontrada|not found)$|^Seite nicht gefunden|^Zur Startseite|^Retour à l'accueil|^Sorry, something went wrong|^Please try again later|^That is all we know|^Your session has expired"
-    r"|(?:enable|activer|aktivieren|switched on|allowed|disabled|active)\b.{0,40}\b(?:JavaScript|[Ss]cripts?)|\b(?:JavaScript|[Ss]cripts?|scripting|cookies)\b.{0,40}(?:enable|activer|aktivieren|switched on|be allowed|disabled|is not available|navegador)|<noscript>|^Checking your browser|^content cannot be shown"
-    r"|^(?:TODO|FIXME|TBD|XXXX+|xxx+)\b|^to be (?:completed|written|added)|^à compléter|^pendiente de redactar|^Text folgt|^Hier steht später|^\(?fill in later|^(?:Sample|Dummy|Your) text\b|^This is some dummy text|^Replace it with your|^Texte d'exemple|^Texto de ejemplo|^Insert "
-    r"|^Model offline|no text generated|^No (?:answer|summary|text) could be (?:produced|generated)|^Summary unavailable|^Section missing|^Unable to extract|could not be (?:located in the parsed|processed:|generated)|nothing extracted|^\[?Error: "
+    rf"(?:HTTP/[\d.]+ |Error )?{STATUS}|^(?:request|connection|access|login|download)\b.{{0,20}}\b(?:failed|reset|refused|denied|blocked|timed out)\b.*"
+    r"|^\{\"(?:error|status|message|detail)\".*\}$|</?(?:html|head|title|body|h1)>|<noscript>.*"
+    r"|^traceback \(most recent call last.*|^\s*file \"[^\"]+\", line \d+.*|^\W?\w*(?:error|exception)\b\W* .*"
+    r"|\b(?:enable|activate|activer|aktivieren|active|turn on|requires?|needs?)\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b(?:enable|activer|aktivieren|required|disabled|switched|available)\b|^checking your browser.*|^your (?:browser|session|request) (?:has|is|was|does)\b.*"
+    r"|^(?:unable|failed) to (?:extract|generate|load|process|retrieve|find)\b.*|\bcould not be (?:processed|produced|generated|located|extracted|found|loaded)\b.*|\bunavailable\b.*|\boffline\b|\bno (?:text|answer|summary) (?:was |could be )?(?:generated|produced|found|available)\b|\bnothing (?:was )?(?:extracted|found)\b"
+    r"|\bpage not found\b|\bpage .{0,20}introuvable\b|\bseite nicht gefunden\b|\bpágina no encontrada\b|\bpage you are looking for\b.*|^this (?:page|site) (?:is|requires|cannot)\b.*|\bsomething went wrong\b|\btry again later\b"
+    r"|^(?:todo|tbd|fixme|x{3,})\b.*|\bto be (?:completed|written|added|determined)\b|\bà compléter\b|\bpendiente de \w+|\btext folgt\b|\bfill(?:ed)? in later\b|\bhier steht\b.*\btext\b|\b(?:sample|dummy|placeholder|your) text\b|\btext goes here\b|\btexte d'exemple\b|\btexto de ejemplo\b"
 )
 #: Words of filler text; a part made of them is filler.
-FILLER = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua quis nostrud "
-    "exercitation ullamco laboris nisi bla blah dummy xxx foo bar baz qux asdf qwer qwerty jkl hjkl test text"
-).split()
-#: Sentences that report on such things.
-ABOUT = r"\\mathcal|\b(?:such as|is never|was never|were (?:kept|filled|rendered|removed|excluded)|hit \d|that answered|that require|removed \d|open checks|token|holds only|bias the|like lorem ipsum)\b"
-
-_SLOT, _PHRASES, _ABOUT = re.compile(SLOT), re.compile(PHRASES), re.compile(ABOUT)
+FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua quis nostrud exercitation ullamco laboris nisi bla blah dummy xxx foo bar baz qux asdf qwer qwerty jkl hjkl test".split()
+#: Words of sentences that speak about slots.
+MENTION = r"\b(?:slots?|templates?|placeholders?|variables?)\b"
+
+_SLOT, _PHRASES, _MENTION = re.compile(SLOT), re.compile(PHRASES, re.I), re.compile(MENTION, re.I)
 _PARTS = re.compile(r"(?<=[.!?])\s+|\n+|; ")
-_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_+")
+_TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_+|\x01")
+_WORD = re.compile(r"[^\W\d_]+|\.\.\.")
 _FILLER = frozenset(FILLER)
 _MASK = np.uint64((1 << BITS) - 1)
-_RARE = r"(?i)lorem|ipsum|adipiscing|ullamco|\bbla\b|blah|dummy|\bxxx|asdf|qwer|test test"
+_SLOT_ID = zlib.crc32(b"\x01")
+_RARE = r"(?i)lorem|ipsum|adipiscing|ullamco|\bbla\b|blah|dummy|\bxxx|asdf|qwer|test test|foo bar"
 
 
 def parts(value: str) -> list[str]:
@@ -67,14 +77,22 @@ def parts(value: str) -> list[str]:
     return [p for p in (x.strip() for x in _PARTS.split(value)) if p]
 
 
-def weak_label(part: str) -> bool:
-    """Whether a part looks like residue by status, phrase, slot or filler, and isn't about it."""
-    if _ABOUT.search(part) and len(part.split()) > 7:
+def weak_label(part: str) -> bool | None:
+    """Whether a part is residue by its statuses, phrases, slots and filler words; None where that is open."""
+    slots = [m.span() for m in _SLOT.finditer(part)]
+    spans = slots + [m.span() for m in _PHRASES.finditer(part)]
+    words = list(_WORD.finditer(part))
+    filler = [m.span() for m in words if m.group().lower() in _FILLER]
+    if len(filler) > 1 or filler and len(filler) == len(words):
+        spans += filler
+    if not spans:
         return False
-    if _SLOT.search(part) or _PHRASES.search(part):
+    others = sum(not any(a <= m.start() < b for a, b in spans) and m.group() != "..." for m in words)
+    if slots:
+        return not (others > MANY and _MENTION.search(_SLOT.sub(" ", part)))
+    if others <= FEW or others <= 0.3 * len(words):
         return True
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+|\.\.\.", part)]
-    return len(words) > 2 and sum(w in _FILLER or w == "..." for w in words) >= 0.8 * len(words)
+    return False if others >= MANY else None
 
 
 _ids: dict[str, int] = {}
@@ -89,18 +107,14 @@ def _word_id(word: str) -> int:
     return got
 
 
-def features(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Feature hashes of all parts in one array, and where each part begins."""
+def features(items: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature hashes of all parts in one array, the part of each, and its weight."""
     ids, starts, extra, owner = [], [], [], []
     for i, part in enumerate(items):
-        slots = _SLOT.findall(part)
-        text = _SLOT.sub(" \x01 ", part) if slots else part
-        words = _TOKEN.findall(text)
+        words = _TOKEN.findall(_SLOT.sub(" \x01 ", part))
         starts.append(len(ids))
         ids.append(1)
         ids += [_word_id(re.sub(r"\d", "0", w.lower()) if not w.isalpha() else w.lower()) for w in words]
-        if slots:
-            ids.append(_word_id("\x01slot"))
         ids.append(2)
         n = len(words)
         capital = sum(w[0].isupper() for w in words) / max(n, 1)
@@ -110,30 +124,27 @@ def features(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
         owner += [i] * len(own)
     a = np.asarray(ids, np.uint64)
     at = np.searchsorted(np.asarray(starts), np.arange(len(a)), "right") - 1
-    grams, who = [a, np.asarray(extra, np.uint64) + np.uint64(77)], [at, np.asarray(owner, np.int64)]
+    slot = a == np.uint64(_SLOT_ID)
     two = a[:-1] * np.uint64(0x9E3779B1) + a[1:] * np.uint64(0x85EBCA77)
-    grams.append(two)
-    who.append(np.where(at[:-1] == at[1:], at[:-1], -1))
-    three = two[:-1] * np.uint64(0xC2B2AE3D) + a[2:] if len(a) > 2 else two[:0]
-    grams.append(three)
-    who.append(np.where(at[:-2] == at[2:], at[:-2], -1) if len(a) > 2 else at[:0])
-    g, w = np.concatenate(grams), np.concatenate(who)
+    three = two[:-1] * np.uint64(0xC2B2AE3D) + a[2:]
+    g = np.concatenate([a, np.asarray(extra, np.uint64) + np.uint64(77), two, three])
+    w = np.concatenate([at, np.asarray(owner, np.int64), np.where(at[:-1] == at[1:], at[:-1], -1), np.where(at[:-2] == at[2:], at[:-2], -1)])
+    held = np.concatenate([slot, np.zeros(len(extra), bool), slot[:-1] | slot[1:], slot[:-2] | slot[1:-1] | slot[2:]])
     keep = w >= 0
-    g = g[keep] * np.uint64(0x9E3779B97F4A7C15)
-    return ((g >> np.uint64(64 - BITS)) & _MASK).astype(np.int64), w[keep]
+    g, w, held = g[keep] * np.uint64(0x9E3779B97F4A7C15), w[keep], held[keep]
+    x = (1 / np.sqrt(np.bincount(w, minlength=len(items))))[w]
+    return ((g >> np.uint64(64 - BITS)) & _MASK).astype(np.int64), w, np.where(held, np.maximum(x, SLOT_WEIGHT), x)
 
 
 class Classifier:
     """Logistic regression with a ridge penalty on hashed features."""
 
     def __init__(self, items: list[str], labels: np.ndarray):
-        f, who = features(items)
-        norm = 1 / np.sqrt(np.bincount(who, minlength=len(items)))
+        f, who, x = features(items)
         y = labels.astype(float)
         balance = np.where(labels, 0.5 / max(labels.sum(), 1), 0.5 / max((~labels).sum(), 1))
         w, bias = np.zeros(1 << BITS), 0.0
         squares, bias_square = np.full(1 << BITS, 1e-10), 1e-10
-        x = norm[who]
         for _ in range(STEPS):
             z = np.bincount(who, w[f] * x, minlength=len(items)) + bias
             err = (1 / (1 + np.exp(-z)) - y) * balance
@@ -148,38 +159,49 @@ class Classifier:
         """Probability of residue of each part."""
         if not items:
             return np.empty(0)
-        f, who = features(items)
-        norm = 1 / np.sqrt(np.bincount(who, minlength=len(items)))
-        z = np.bincount(who, self.w[f], minlength=len(items)) * norm + self.bias
+        f, who, x = features(items)
+        z = np.bincount(who, self.w[f] * x, minlength=len(items)) + self.bias
         return 1 / (1 + np.exp(-z))
 
 
-def _java(pattern: str) -> str:
-    return "(?m)" + pattern
-
-
 def labelled(values: DataFrame) -> tuple[list[str], np.ndarray, list[str]]:
-    """Parts, weak labels and hosts of the bounded training sample of values (text, host)."""
+    """Parts, weak labels and hosts of the bounded training sample of values (tbl, row_key, text, host)."""
     v = values.where("length(text) > 0")
     n = max(v.count(), 1)
     place = F.pmod(F.xxhash64("tbl", "row_key"), F.lit(1 << 30)) / float(1 << 30)
     v = v.withColumn("place", place).where(F.col("place") < SAMPLE_SEARCHED / n)
-    slots = F.col("text").rlike(r"[{}$%<\[@~&]|__") & F.col("text").rlike(_java(SLOT))
-    suspect = slots | F.col("text").rlike(_java(PHRASES)) | F.col("text").rlike(_RARE)
+    slots = F.col("text").rlike(r"[{}$%<\[@~&]|__") & F.col("text").rlike(SLOT)
+    suspect = slots | F.col("text").rlike("(?mi)" + PHRASES) | F.col("text").rlike(_RARE)
     rows = v.where((F.col("place") < SAMPLE_ANY / n) | suspect).select("text", "host").collect()
     seen: dict[str, str] = {}
+    label: dict[str, bool | None] = {}
+    free: set[str] = set()
     for text, host in sorted((r[0], r[1] or "") for r in rows):
-        for p in parts(text):
-            seen.setdefault(p, host or "")
-    items = sorted(seen)
-    return items, np.array([weak_label(p) for p in items], bool), [seen[p] for p in items]
+        own = parts(text)
+        for p in own:
+            seen.setdefault(p, host)
+            if p not in label:
+                label[p] = weak_label(p)
+        if len(own) > 4 or not any(label[p] for p in own):
+            free.update(own)  # not what stands beside residue only
+    items = sorted(p for p in seen if label[p] or label[p] is False and p in free)
+    return items, np.array([bool(label[p]) for p in items], bool), [seen[p] for p in items]
+
+
+def _judged(items: list[list[str]], model: Classifier) -> list[tuple[float, str]]:
+    """Score and text of the worst part of each list of parts."""
+    flat = [p for ps in items for p in ps]
+    score, n, out = model.scores(flat), 0, []
+    for ps in items:
+        i = n + int(np.argmax(score[n : n + len(ps)])) if ps else -1
+        out.append((float(score[i]), flat[i]) if ps else (0.0, ""))
+        n += len(ps)
+    return out
 
 
 def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """tbl, row_key, score, part, rejected for all values (tbl, row_key, text, host): the worst part and its score.
 
-    A part is residue by the classifier alone from SURE on; between CONFIRMED and SURE a
-    weak label has to confirm it, which keeps cut words from being taken for filler.
     ``of`` limits the result to some of the rows; the classifier is fitted on ``values``.
     """
     items, labels, _ = labelled(values)
@@ -193,37 +215,41 @@ def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 tbl, key, text = (c.slice(at, 2000).to_pylist() for c in batch.columns)
-                cut = [parts(t) for t in text]
-                flat = [p for ps in cut for p in ps]
-                score = sent.value.scores(flat)
-                likely = score > SURE
-                for i in np.flatnonzero((score > CONFIRMED) & ~likely):
-                    likely[i] = weak_label(flat[i])
-                score = np.where(likely, score, np.minimum(score, CONFIRMED))
-                n, best, worst, no = 0, [], [], []
-                for ps in cut:
-                    i = n + int(np.argmax(score[n : n + len(ps)])) if ps else -1
-                    best.append(float(score[i]) if ps else 0.0)
-                    worst.append(flat[i] if ps else "")
-                    no.append(bool(likely[i]) if ps else False)
-                    n += len(ps)
-                yield pa.RecordBatch.from_arrays([pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(best, pa.float64()), pa.array(worst, pa.string()), pa.array(no, pa.bool_())], ["tbl", "row_key", "score", "part", "rejected"])
+                found = _judged([parts(t) for t in text], sent.value)
+                score = [s for s, _ in found]
+                columns = [pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(score, pa.float64()), pa.array([p for _, p in found], pa.string()), pa.array([s > SURE for s in score], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["tbl", "row_key", "score", "part", "rejected"])
 
     return of.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)
 
 
-def validate(values: DataFrame) -> list[tuple[str, int, int, float, float]]:
-    """(host, parts, weak positives, precision, recall) with each host left out of the fit in turn."""
+def validate(values: DataFrame) -> DataFrame:
+    """host, vals, labelled, rejected, both: all values judged by a classifier that has seen no value of their host's fold.
+
+    ``labelled`` counts the values with a weakly labelled part, ``both`` those that are rejected too.
+    """
     items, labels, hosts = labelled(values)
-    hosts_ = np.array(hosts)
-    out = []
-    for host in sorted(set(hosts)):
-        test = hosts_ == host
-        train = ~test
-        if not labels[train].any() or labels[train].all():
-            continue
-        model = Classifier([items[i] for i in np.flatnonzero(train)], labels[train])
-        said = model.scores([items[i] for i in np.flatnonzero(test)]) > 0.5
-        hit = int((said & labels[test]).sum())
-        out.append((host, int(test.sum()), int(labels[test].sum()), hit / max(int(said.sum()), 1), hit / max(int(labels[test].sum()), 1)))
-    return out
+    fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts])
+    models = {}
+    for k in range(FOLDS):
+        train = np.flatnonzero(fold != k)
+        if labels[train].any() and not labels[train].all():
+            models[k] = Classifier([items[i] for i in train], labels[train])
+    sent = values.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host, text = ([x or "" for x in c.to_pylist()] for c in batch.columns)
+            kept, weak, bad = [], [], []
+            for k, model in sent.value.items():
+                own = [i for i, h in enumerate(host) if zlib.crc32(h.encode()) % FOLDS == k]
+                for at in range(0, len(own), 2000):
+                    chunk = [parts(text[i]) for i in own[at : at + 2000]]
+                    kept += [host[i] for i in own[at : at + 2000]]
+                    bad += [s > SURE for s, _ in _judged(chunk, model)]
+                    weak += [any(weak_label(p) for p in ps) for ps in chunk]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(weak, pa.bool_()), pa.array(bad, pa.bool_())], ["host", "weak", "bad"])
+
+    judged = values.where("length(text) > 0").select("host", "text").mapInArrow(run, "host string, weak boolean, bad boolean")
+    count = lambda c: F.sum(c.cast("long"))
+    return judged.groupBy("host").agg(F.count("*").alias("vals"), count(F.col("weak")).alias("labelled"), count(F.col("bad")).alias("rejected"), count(F.col("weak") & F.col("bad")).alias("both"))

@@ -295,10 +295,17 @@ def test_residue(spark):
     v = residue_values(spark)
     got = {r.row_key for r in residue.verdicts(v).where("rejected").collect()}
     assert got == set(range(1000, 1021))
-    assert {h for h, *_ in residue.validate(v)} <= {"h0", "h1", "h2"}
+    by_host = {r.host: r for r in residue.validate(v).collect()}
+    assert set(by_host) <= {"h0", "h1", "h2"} and all(r.both <= min(r.labelled, r.rejected) and r.rejected <= r.vals for r in by_host.values())
     assert residue.verdicts(v.limit(0)).count() == 0
 
 
+def test_weak_labels():
+    yes = ["502 Bad Gateway", "It concerns {{ title }}.", "TODO: write this section", "lorem ipsum dolor sit", "xxx"]
+    no = ["Server timeouts (error 503) hit 7% of the requests and bias the river data.", "Templates with slots such as {name} were filled by hand for the river data.", "Labels were produced by 3 raters."]
+    assert all(residue.weak_label(x) for x in yes) and not any(residue.weak_label(x) for x in no)
+
+
 # ---- problem 6 -----------------------------------------------------------------------
 
 
