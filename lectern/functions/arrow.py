@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from lectern import vocab
 
@@ -33,6 +35,12 @@ def robust_sentences(text: str) -> list[str]:
     return [p for p in parts if len(p) > 10]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def robust_split(s: pd.Series) -> pd.Series:
+    """:func:`robust_sentences` of each text; null stays null."""
+    return s.map(robust_sentences, na_action="ignore")
+
+
 def usable(sentence: str) -> bool:
     """20 to 300 characters, not mostly numbers and signs, not mostly upper case."""
     n = len(sentence)
@@ -119,6 +127,65 @@ def lsa_summarize(m: int, stopwords: list[str] | None = None):
     return run
 
 
+def lsa_summarize_each(m: int, stopwords: list[str] | None = None):
+    """An Arrow UDF of :func:`lsa_summary` over arrays of texts."""
+    stops = frozenset(stopwords or ())
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda ts: [lsa_summary(t, m, stops) if t else None for t in ts])
+
+    return run
+
+
+def tfidf_rows(sentences: list) -> tuple[list[dict[str, float]], int]:
+    """L2-normalized TF-IDF weights of each tokenized sentence within its document, and the size of the vocabulary."""
+    counts = [Counter(s) for s in sentences]
+    df = Counter(t for c in counts for t in c)
+    n = len(counts)
+    idf = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    rows = []
+    for c in counts:
+        x = {t: k * idf[t] for t, k in c.items()}
+        length = math.sqrt(sum(v * v for v in x.values()))
+        rows.append({t: v / length for t, v in x.items()})
+    return rows, len(df)
+
+
+def tfidf_best(m: int):
+    """An Arrow UDF of tokenized sentences: the places of the m with the highest mean weight, in order; lowest place on ties."""
+
+    def best(sentences) -> list[int]:
+        if sentences is None:
+            return []
+        if len(sentences) <= m:
+            return list(range(len(sentences)))
+        rows, v = tfidf_rows(sentences)
+        score = [round(sum(r.values()) / v, 9) if v else 0.0 for r in rows]
+        return sorted(sorted(range(len(rows)), key=lambda i: (-score[i], i))[:m])
+
+    @F.pandas_udf("array<int>")
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(best)
+
+    return run
+
+
+def tfidf_weight_of(terms: list[str]):
+    """An Arrow UDF of tokenized sentences: the summed weights of ``terms``, null if no sentence has one."""
+
+    def weight(sentences) -> float | None:
+        if sentences is None or not any(t in terms for s in sentences for t in s):
+            return None
+        return round(sum(r.get(t, 0.0) for r in tfidf_rows(sentences)[0] for t in terms), 6)
+
+    @F.pandas_udf(DoubleType())
+    def run(tokens: pd.Series) -> pd.Series:
+        return tokens.map(weight)
+
+    return run
+
+
 def lcs(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence."""
     row = np.zeros(len(b) + 1, np.int64)
@@ -215,8 +282,19 @@ def porter_stem(s: pd.Series) -> pd.Series:
 
 
 def register_all(spark: SparkSession) -> None:
-    """Make the functions available in SQL: nfkd, porter_stem, rouge_l, lsa_summarize (two sentences)."""
+    """Make the functions available in SQL: nfkd, robust_split, porter_stem, rouge_l, lsa_summarize (two sentences), the table function sentences."""
     spark.udf.register("nfkd", nfkd)
     spark.udf.register("porter_stem", porter_stem)
     spark.udf.register("rouge_l", rouge_l)
     spark.udf.register("lsa_summarize", lsa_summarize(2))
+    spark.udf.register("robust_split", robust_split)
+    spark.udtf.register("sentences", Sentences)
+
+
+@F.udtf(returnType=StructType([StructField("idx", IntegerType()), StructField("sentence", StringType())]))
+class Sentences:
+    """Table function: the robust sentences of a text with their places; no rows for null."""
+
+    def eval(self, text: str):
+        if text is not None:
+            yield from enumerate(robust_sentences(text))

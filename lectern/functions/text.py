@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern import vocab
+
 _WORD = r"[\p{L}\p{N}_]"
 
 
@@ -63,14 +65,14 @@ def share_of(text: Column, char_class: str) -> Column:
 
 def clean_scientific(text: Column) -> Column:
     """Body text: cut at a bare references line, without citations and without table, figure and formula lines."""
-    body = F.split(text, r"(?i)\n\s*references\s*\n").getItem(0)
-    body = F.regexp_replace(body, r"\[(?:\s*\d+\s*(?:,\s*\d+)*\s*)\]", "")
-    body = F.regexp_replace(body, r"\((?:[A-Z][a-zA-Z\-']+\s+et\s+al\.|[A-Z][a-zA-Z\-']+),?\s*\d{4}[a-z]?\)", "")
+    body = F.split(text, vocab.REFERENCES_LINE).getItem(0)
+    body = F.regexp_replace(body, vocab.CITATION_NUMBERS, "")
+    body = F.regexp_replace(body, vocab.CITATION_NAMES, "")
 
     def keep(line: Column) -> Column:
         s = F.trim(line)
         formula = F.length(F.regexp_replace(s, r"[\p{L}\p{N}\s]", "")) / F.greatest(F.length(s), F.lit(1)) > 0.4
-        return (s != "") & ~s.rlike(r"(?i)^table\s+\d+") & ~s.rlike(r"(?i)^figure\s+\d+") & ~formula
+        return (s != "") & ~s.rlike(vocab.TABLE_LINE) & ~s.rlike(vocab.FIGURE_LINE) & ~formula
 
     return F.array_join(F.filter(F.split(body, "\n"), keep), "\n")
 

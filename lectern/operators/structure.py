@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern import vocab
+from lectern.functions.arrow import lsa_summarize_each
 from lectern.functions import text as T
+from lectern.operators import respond
 
 #: Shortest text that is analyzed, in characters.
 LEAST = 500
@@ -169,12 +171,13 @@ def diverse(found: Column, most: int) -> Column:
     return F.aggregate(found.cast(kind), F.array().cast(kind), step)
 
 
-def facet(of: Column, name: str, sentences: Column | None = None) -> Column:
-    """The findings of a facet in a MAP of sections, or its fixed sentence.
+def facet(of: Column, name: str, sentences: Column | None = None, fixed: bool = True) -> Column:
+    """The findings of a facet in a MAP of sections, or its fixed sentence (null unless ``fixed``).
 
     ``sentences`` may give the MAP of the sections' sentences if it is known.
     """
     weights, most, keywords, default = vocab.FACETS[name]
+    default = default if fixed else None
     least = 100 if name == "methodology" else 1
     found = F.concat(
         *[
@@ -255,12 +258,12 @@ def level(overall: Column) -> Column:
 def recommendations(overall: Column, scores: dict[str, Column]) -> Column:
     """ARRAY<STRING> of what to improve: overall, per facet, and the critical facets that are missing."""
     out = [
-        F.when(overall < 0.4, "Consider using a different PDF or improving text extraction quality").when(overall < 0.6, "Summary quality is fair - consider manual review and editing")
+        F.when(overall < 0.4, vocab.RECOMMEND_POOR).when(overall < 0.6, vocab.RECOMMEND_FAIR)
     ]
     for name, s in scores.items():
-        out.append(F.when(s < 0.3, f"The {name} section needs significant improvement - consider manual extraction").when(s < 0.5, f"The {name} section could benefit from additional context or refinement"))
+        out.append(F.when(s < 0.3, vocab.RECOMMEND_MUCH.format(name)).when(s < 0.5, vocab.RECOMMEND_SOME.format(name)))
     missing = F.array_join(F.array_compact(F.array(*[F.when(scores[n] < 0.2, n) for n in ("contributions", "methodology", "results")])), ", ")
-    out.append(F.when(missing != "", F.concat(F.lit("Critical sections missing or inadequate: "), missing)))
+    out.append(F.when(missing != "", F.concat(F.lit(vocab.RECOMMEND_MISSING), missing)))
     return F.array_compact(F.array(*out))
 
 
@@ -273,6 +276,9 @@ def short_overview(contributions: Column, methodology: Column, results: Column)
 def analyze(documents: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
     """Structured summary, type, domain and quality of every document, one narrow plan without a shuffle.
 
+    A facet without findings falls back to a latent-semantic summary of its sections, then to
+    its fixed sentence.  A document that can't be read (status ``too_short``) has only nulls.
+
     Texts that are null or under LEAST characters get status ``too_short`` and nulls.
     Texts are analyzed whole unless ``most`` cuts the cleaned ones to so many characters.
     """
@@ -285,8 +291,15 @@ def analyze(documents: DataFrame, key: str, text: str, most: int | None = None)
     d = d.withColumn("abstract", F.when(F.col("ok"), abstract_section(F.col("body"))))
     d = d.withColumn("sections", F.when(F.col("ok"), sections(F.col("body"), F.col("rows"), F.col("abstract"))))
     d = d.withColumn("sentences", F.transform_values("sections", lambda k, v: T.split_d(v)))
-    d = d.withColumns({name: F.when(F.col("ok"), facet(F.col("sections"), name, F.col("sentences"))) for name in vocab.FACETS})
     part = lambda s: F.coalesce(F.try_element_at(F.col("sections"), F.lit(s)), F.lit(""))
+    d = d.withColumns({name: F.when(F.col("ok"), facet(F.col("sections"), name, F.col("sentences"), fixed=False)) for name in vocab.FACETS})
+    # without findings the latent-semantic summary of two sections stands in; one call of Python for all
+    spare = {n: F.trim(F.concat_ws(" ", *[F.nullif(part(s), F.lit("")) for s in names])) for n, names in vocab.FACET_FALLBACK.items()}
+    asked = [F.when(F.col("ok") & F.col(n).isNull() & (F.length(t) > 100), t).alias(n) for n, t in spare.items()]
+    d = d.withColumn("spare", lsa_summarize_each(3)(F.array(*asked)))
+    for i, n in enumerate(spare):
+        d = d.withColumn(n, F.coalesce(F.col(n), F.when(F.length(F.get("spare", F.lit(i))) > 50, F.get("spare", F.lit(i)))))
+    d = d.withColumns({n: F.when(F.col("ok"), F.coalesce(F.col(n), F.lit(vocab.FACETS[n][3]))) for n in vocab.FACETS})
     d = d.withColumn("type", paper_type(F.concat_ws(" ", part("abstract"), part("introduction"), part("methodology"))))
     d = d.withColumn("field", domain(F.concat_ws(" ", part("abstract"), part("introduction"))))
     scores = {n: quality(F.col(n), n) for n in vocab.FACETS}
@@ -301,5 +314,6 @@ def analyze(documents: DataFrame, key: str, text: str, most: int | None = None)
         only(F.col("overall")).alias("overall_score"), only(level(F.col("overall"))).alias("quality_level"),
         only(F.create_map(*[x for n in vocab.FACETS for x in (F.lit(n), F.col(f"q_{n}"))])).alias("section_scores"),
         only(recommendations(F.col("overall"), {n: F.col(f"q_{n}") for n in vocab.FACETS})).alias("recommendations"),
+        only(respond.rewritten(F.lit(""), F.array().cast("array<string>"), F.lit(None).cast("int"), {n: F.col(n) for n in vocab.FACETS})).alias("abstractive_summary"),
         only(F.map_keys("sections")).alias("sections_detected"), only(adaptive_config(F.col("type.label"), F.col("field.label"))).alias("adaptive_config"),
     )

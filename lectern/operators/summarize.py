@@ -35,22 +35,40 @@ def tfidf_weights(docs: DataFrame, key: str, text: str, stopwords: list[str] | N
     return raw.select(key, "idx", "term", "tf", "df", "n", (F.col("x") / length).alias("w"))
 
 
-def tfidf_summary(docs: DataFrame, key: str, text: str, m: int, stopwords: list[str] | None = None) -> DataFrame:
-    """key, summary: the m sentences with the highest mean weight, in their order, lowest index on ties.
+def tokenized(sentences: Column, stopwords: list[str] | None = None) -> Column:
+    """ARRAY<ARRAY<STRING>>: the words of each sentence."""
+    tokens = F.transform(sentences, lambda s: T.word_tokens(s))
+    if not stopwords:
+        return tokens
+    stops = F.array(*[F.lit(w) for w in stopwords])
+    return F.transform(tokens, lambda ws: F.filter(ws, lambda w: ~F.array_contains(stops, w)))
+
+
+def tfidf_text(docs: DataFrame, text: str, m: int, stopwords: list[str] | None = None, out: str = "tfidf") -> DataFrame:
+    """``docs`` with a column ``out``: the m sentences with the highest mean weight, in their order, lowest index on ties.
 
-    '' for an empty text; the first m sentences if there is no vocabulary; all of them
-    if there are no more than m.  A null text gives ''.
+    All statistics are those of one document, so one narrow pass does and nothing is
+    shuffled.  '' for an empty text or a null; the first m sentences if there is no
+    vocabulary; all of them if there are no more than m.
     """
-    w = tfidf_weights(docs, key, text, stopwords)
-    vocabulary = w.groupBy(key).agg(F.count_distinct("term").alias("v"))
-    score = w.groupBy(key, "idx").agg(F.sum("w").alias("sw")).join(vocabulary, key)
-    score = score.select(key, "idx", F.round(F.col("sw") / F.col("v"), 9).alias("score"))
-    s = docs.select(key, F.posexplode(T.split_a(F.col(text))).alias("idx", "sentence")).join(score, [key, "idx"], "left")
-    best = Window.partitionBy(key).orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "idx")
-    picked = s.withColumn("r", F.row_number().over(best)).where(F.col("r") <= m)
-    joined = picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "sentence"))).alias("p"))
-    joined = joined.select(key, F.array_join(F.transform("p", lambda x: x["sentence"]), " ").alias("summary"))
-    return docs.select(key).join(joined, key, "left").select(key, F.coalesce("summary", F.lit("")).alias("summary"))
+    from lectern.functions.arrow import tfidf_best
+
+    d = docs.withColumn("__s", T.split_a(F.col(text)))
+    d = d.withColumn("__best", tfidf_best(m)(tokenized(F.col("__s"), stopwords)))
+    joined = F.array_join(F.transform("__best", lambda i: F.get("__s", i)), " ")
+    return d.withColumn(out, F.coalesce(joined, F.lit(""))).drop("__s", "__best")
+
+
+def tfidf_summary(docs: DataFrame, key: str, text: str, m: int, stopwords: list[str] | None = None) -> DataFrame:
+    """key, summary: see :func:`tfidf_text`."""
+    return tfidf_text(docs.select(key, text), text, m, stopwords, "summary").select(key, "summary")
+
+
+def term_weight(docs: DataFrame, key: str, text: str, terms: list[str], stopwords: list[str] | None = None) -> DataFrame:
+    """key, score: the summed TF-IDF weight of ``terms`` over the sentences of each text that has one; no shuffle."""
+    from lectern.functions.arrow import tfidf_weight_of
+
+    return docs.select(key, tfidf_weight_of(terms)(tokenized(T.split_a(F.col(text)), stopwords)).alias("score")).where("score is not null")
 
 
 def sublinear_pairs(docs: DataFrame, key: str, text: str, stopwords: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern import vocab
+from lectern.functions import hooks
 from lectern.functions import text as T
+from lectern.session import cut
 
 
 def marker_score(text: Column, markers: list[str]) -> Column:
@@ -56,12 +58,19 @@ def detect_intent(text: Column, intents: dict[str, dict[str, int]] = vocab.INTEN
     return T.let(intent_scores(text, intents), best)
 
 
-def expand_query(query: Column, entities: Column | None = None, stopwords: list[str] = vocab.QUERY_STOPWORDS) -> Column:
-    """Distinct tokens of the query and of all entity strings (ARRAY), sorted by code point."""
+def expand_query(query: Column, entities: Column | None = None, stopwords: list[str] = vocab.QUERY_STOPWORDS, synonyms: dict[str, list[str]] | None = None) -> Column:
+    """Distinct tokens of the query and of all entity strings (ARRAY), sorted by code point.
+
+    ``synonyms`` maps a token to others, which join it in lower case with spaces for
+    underscores, those of up to 30 characters.
+    """
     terms = T.query_tokens(query, stopwords)
     if entities is not None:
         more = F.flatten(F.transform(F.coalesce(entities, F.array().cast("array<string>")), lambda e: T.query_tokens(e, stopwords)))
         terms = F.array_union(terms, more)
+    if synonyms:
+        table = F.create_map(*[x for t, ws in synonyms.items() for x in (F.lit(t), F.array(*[F.lit(w.replace("_", " ").lower()) for w in ws if len(w) <= 30]).cast("array<string>"))])
+        terms = F.array_union(terms, F.flatten(F.transform(terms, lambda t: F.coalesce(F.try_element_at(table, t), F.array().cast("array<string>")))))
     return F.array_sort(F.array_distinct(terms))
 
 
@@ -70,46 +79,75 @@ def post_process_translation(text: Column) -> Column:
     return F.regexp_replace(T.collapse(text), r"\s+([.,!?;:])", "$1")
 
 
+def translated(text: Column, language: Column, least: float = 0.3) -> Column:
+    """The English text of a French query if a model translates it and gives at least ``least`` of its length; else the text."""
+    said = hooks.answer("translate", F.trim(text))
+    if said is None:
+        return text
+    said = post_process_translation(said)
+    return F.when((language == "fr") & (F.length(said) >= least * F.length(F.trim(text))), said).otherwise(text)
+
+
+def keywords(text: Column) -> Column:
+    """Distinct lower-case noun phrases by a model, first occurrence first; none without a model."""
+    said = hooks.answer("keywords", text)
+    return F.array().cast("array<string>") if said is None else F.array_distinct(F.transform(said, lambda k: F.lower(k)))
+
+
+def distinct_entities(entities: Column, categories: list[str]) -> Column:
+    """STRUCT of each category's entities without repeats, nulls and blanks, the first occurrence stays; [] for null."""
+    none = F.array().cast("array<string>")
+    return F.struct(*[F.array_distinct(F.filter(F.coalesce(entities[c], none), lambda e: F.trim(e) != "")).alias(c) for c in categories])
+
+
 def entity_topk(queries: DataFrame, vocabulary: DataFrame, k: int = 2, threshold: float = 0.5, block: int = 4096) -> DataFrame:
     """query_id, category, term, score, rank: the k nearest terms per category, those above the threshold.
 
     ``queries`` has query_id and embedding, ``vocabulary`` category, term, pos and
-    embedding.  Ties go to the lower ``pos``.  The query set is sent in blocks of
-    ``block`` vectors; every vocabulary batch yields its k best per query and category
-    only, so what is shuffled is bounded by the batches, not by the pairs.  Rows with a
+    embedding.  Ties go to the lower ``pos``.  The query set goes in blocks of
+    about ``block`` vectors, one after the other, by a hash of the query's id; every batch of
+    terms yields its k best per query and category only, so what is shuffled is bounded by
+    the batches, not by the pairs.  Rows with a
     null embedding are left out.
     """
     asked = queries.where("embedding is not null").select("query_id", "embedding")
     words = vocabulary.where("embedding is not null").select("category", "term", "pos", "embedding")
     names = {f.name: f.dataType.simpleString() for f in words.schema.fields}
     schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, category {names['category']}, term {names['term']}, pos {names['pos']}, score double"
-    sc, out, rows = queries.sparkSession.sparkContext, None, []
-
-    def scored(rows: list) -> DataFrame:
-        q = np.array([r[1] for r in rows], np.float64)
-        sent = sc.broadcast(([r[0] for r in rows], q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-8)))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, unit = sent.value
-            for batch in batches:
-                m = np.array(batch["embedding"].tolist(), np.float64)
-                score = np.round(unit @ (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)).T, 6) if len(m) else np.empty((len(ids), 0))
-                found = []
-                for _, own in batch.groupby("category").indices.items():
-                    own = own[np.argsort(batch["pos"].to_numpy()[own], kind="stable")]
-                    best = own[np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]]
-                    for i, row in enumerate(best):
-                        found += [(ids[i], batch["category"].iat[j], batch["term"].iat[j], batch["pos"].iat[j], float(score[i, j])) for j in row]
-                yield pd.DataFrame(found, columns=["query_id", "category", "term", "pos", "score"])
-
-        return words.mapInPandas(run, schema)
-
-    for row in asked.toLocalIterator():
-        rows.append(row)
-        if len(rows) == block:
-            out, rows = scored(rows) if out is None else out.unionAll(scored(rows)), []
-    if rows or out is None:
-        part = scored(rows) if rows else queries.sparkSession.createDataFrame([], schema)
-        out = part if out is None else out.unionAll(part)
+    blocks = -(-asked.count() // block) or 1
+    found = None
+    for b in range(blocks):
+        own = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        part = _nearest(own.collect(), words, k, schema)
+        if blocks > 1:
+            part = cut(part)  # the block's vectors are no longer needed
+        found = part if found is None else found.unionAll(part)
     w = Window.partitionBy("query_id", "category").orderBy(F.desc("score"), "pos")
-    return out.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > threshold)).drop("pos")
+    return found.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= k) & (F.col("score") > threshold)).drop("pos")
+
+
+def _nearest(rows: list, words: DataFrame, k: int, schema: str) -> DataFrame:
+    """The k nearest of each batch of terms per category for a block of query vectors."""
+    if not rows:
+        return words.sparkSession.createDataFrame([], schema)
+    q = np.array([r[1] for r in rows], np.float64)
+    ids = np.array([r[0] for r in rows], object)
+    sent = words.sparkSession.sparkContext.broadcast((ids, q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-8)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, unit = sent.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            m = np.array(batch["embedding"].tolist(), np.float64)
+            score = np.round(unit @ (m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-8)).T, 6)
+            who, which = [], []
+            for own in batch.groupby("category").indices.values():
+                own = own[np.argsort(batch["pos"].to_numpy()[own], kind="stable")]
+                best = own[np.argsort(-score[:, own], axis=1, kind="stable")[:, :k]]
+                who.append(np.repeat(np.arange(len(ids)), best.shape[1]))
+                which.append(best.ravel())
+            i, j = np.concatenate(who), np.concatenate(which)
+            yield pd.DataFrame({"query_id": ids[i], **{c: batch[c].to_numpy()[j] for c in ("category", "term", "pos")}, "score": score[i, j]})
+
+    return words.mapInPandas(run, schema)

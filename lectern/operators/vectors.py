@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import hooks
+
 #: Length of the deterministic fallback vector.
 DIMENSION = 384
 EPSILON = 1e-8
@@ -31,6 +33,12 @@ def hash_embedding(text: Column) -> Column:
     return F.concat(F.transform(raw, lambda x: (x / length).cast("float")), F.array_repeat(F.lit(0.0).cast("float"), DIMENSION - 16))
 
 
+def embed(text: Column) -> Column:
+    """The model's vector of a text, the deterministic one without a model."""
+    made = hooks.answer("embed", text)
+    return hash_embedding(text) if made is None else made
+
+
 def rank_by_cosine(rows: DataFrame, query: list[float], k: int, key: str, embedding: str = "embedding") -> DataFrame:
     """The k rows nearest to a query vector, ties by ``key`` (a bounded per-task top-k, no full sort)."""
     q = F.array(*[F.lit(float(x)) for x in query])

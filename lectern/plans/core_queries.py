@@ -557,5 +557,5 @@ _TERMS = [t for t in "which encoder improves glacier monitoring".split()]
 )
 def lexical_topk(spark, sf):
     """The ten papers with most weight on the words of a question."""
-    w = summarize.tfidf_weights(papers(spark, sf, "abstract"), "paper_key", "abstract", STOPS).where(F.col("term").isin(*_TERMS))
-    return w.groupBy("paper_key").agg(F.round(F.sum("w"), 6).alias("score")).orderBy(F.desc("score"), "paper_key").limit(10)
+    w = summarize.term_weight(papers(spark, sf, "abstract"), "paper_key", "abstract", _TERMS, STOPS)
+    return w.orderBy(F.desc("score"), "paper_key").limit(10)

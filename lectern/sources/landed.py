@@ -15,8 +15,9 @@ PAPER = "id string, title string, authors array<string>, year int, published str
 _SCHOLAR = "data array<struct<paperId:string,title:string,authors:array<struct<name:string>>,year:int,publicationDate:string,abstract:string,url:string,openAccessPdf:struct<url:string>>>"
 _DATE = "struct<`date-parts`:array<array<int>>>"
 _CROSSREF = f"message struct<items:array<struct<DOI:string,title:array<string>,author:array<struct<given:string,family:string>>,`published-print`:{_DATE},`published-online`:{_DATE},abstract:string,URL:string>>>"
-_ARXIV = "entries array<struct<entry_id:string,title:string,summary:string,published:string,authors:array<string>,links:array<struct<href:string,title:string>>>>"
-_PUBMED = "articles array<struct<pmid:string,title:string,abstract_text:array<string>,authors:array<struct<ForeName:string,LastName:string>>,year:string>>"
+_ARXIV = "entries array<struct<entry_id:string,title:string,summary:string,published:string,updated:string,authors:array<string>,links:array<struct<href:string,title:string>>>>"
+_PUBMED = "PubmedArticleSet struct<PubmedArticle:array<struct<MedlineCitation:struct<PMID:struct<`$`:string>,Article:struct<ArticleTitle:string,Abstract:struct<AbstractText:string>,AuthorList:struct<Author:string>>,DateCompleted:string>>>>"
+_AUTHOR = "struct<ForeName:string,LastName:string>"
 
 
 def _rows(payloads: DataFrame, column: str, schema: str, path: str) -> DataFrame:
@@ -47,27 +48,59 @@ def arxiv(payloads: DataFrame, column: str = "payload") -> DataFrame:
     r = _rows(payloads, column, _ARXIV, "entries")
     pdf = F.try_element_at(F.filter("r.links", lambda x: (x["title"] == "pdf") | x["href"].endswith(".pdf")), F.lit(1))
     return r.select(
-        F.col("r.entry_id").alias("id"), F.trim("r.title").alias("title"), "r.authors", F.substring("r.published", 1, 4).try_cast("int").alias("year"), "r.published", F.trim("r.summary").alias("abstract"), pdf["href"].alias("pdf_url"), F.col("r.entry_id").alias("entry_url"),
+        F.col("r.entry_id").alias("id"), F.trim("r.title").alias("title"), "r.authors", F.substring("r.published", 1, 4).try_cast("int").alias("year"), "r.published", F.trim("r.summary").alias("abstract"), pdf["href"].alias("pdf_url"), F.col("r.entry_id").alias("entry_url"), F.coalesce("r.updated", "r.published").alias("updated"),
     )
 
 
+def _listed(json: Column, of: str) -> Column:
+    """A JSON value that is a list of things or one thing, as an array."""
+    return F.when(F.startswith(F.ltrim(json), F.lit("[")), F.from_json(json, f"array<{of}>")).otherwise(F.array(F.from_json(json, of)) if of != "string" else F.array(json))
+
+
 def pubmed(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Papers of landed PubMed details; abstract parts are joined by a space, the PDF link is null."""
-    r = _rows(payloads, column, _PUBMED, "articles")
+    """Papers of landed PubMed details (MedlineCitation layout).
+
+    Abstract parts are joined by a space, one author may stand without a list, authors
+    without a last name are left out, the year is that of DateCompleted; no PDF link.
+    """
+    r = _rows(payloads, column, _PUBMED, "PubmedArticleSet.PubmedArticle").select(F.col("r.MedlineCitation").alias("m"))
+    named = F.filter(_listed(F.col("m.Article.AuthorList.Author"), _AUTHOR), lambda a: F.coalesce(a["LastName"], F.lit("")) != "")
+    authors = F.transform(named, lambda a: F.concat_ws(" ", F.nullif(a["ForeName"], F.lit("")), a["LastName"]))
+    pmid, date = F.coalesce(F.col("m.PMID")["$"], F.lit("")), F.col("m.DateCompleted")
+    printed = F.replace(F.replace(F.replace(date, F.lit('":'), F.lit("': ")), F.lit(',"'), F.lit(", '")), F.lit('"'), F.lit("'"))
     return r.select(
-        F.col("r.pmid").alias("id"), F.coalesce("r.title", F.lit("")).alias("title"), F.transform("r.authors", lambda a: F.concat_ws(" ", a["ForeName"], a["LastName"])).alias("authors"), F.col("r.year").try_cast("int").alias("year"),
-        F.coalesce("r.year", F.lit("")).alias("published"), F.array_join("r.abstract_text", " ").alias("abstract"), F.lit(None).cast("string").alias("pdf_url"), F.lit("").alias("entry_url"),
+        pmid.alias("id"), F.trim(F.coalesce("m.Article.ArticleTitle", F.lit(""))).alias("title"), F.coalesce(authors, F.array().cast("array<string>")).alias("authors"), F.get_json_object(date, "$.Year").try_cast("int").alias("year"),
+        F.coalesce(printed, F.lit("")).alias("published"), F.trim(F.coalesce(F.array_join(_listed(F.col("m.Article.Abstract.AbstractText"), "string"), " "), F.lit(""))).alias("abstract"),
+        F.lit(None).cast("string").alias("pdf_url"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), pmid, F.lit("/")).alias("entry_url"),
     )
 
 
+def pubmed_found(searches: DataFrame, details: DataFrame, column: str = "payload") -> DataFrame:
+    """Papers of the ids that landed searches list, in the order of the list (rank from 0), with their landed details.
+
+    An id without details gives no row; repeated details of an id count once.
+    """
+    ids = searches.select(F.posexplode(F.from_json(column, "esearchresult struct<idlist:array<string>>")["esearchresult"]["idlist"]).alias("rank", "id"))
+    return ids.join(pubmed(details, column).dropDuplicates(["id"]), "id")
+
+
 READERS = {"arxiv": arxiv, "semantic_scholar": semantic_scholar, "pubmed": pubmed, "crossref": crossref}
+#: Orders of arXiv results; any other name counts as relevance.  All but relevance run from the newest on.
+SORTS = {"lastUpdatedDate": "updated", "submittedDate": "published"}
+
 
+def read(payloads: DataFrame, api: str, column: str = "payload", sort_by: str = "relevance") -> DataFrame:
+    """Papers of landed payloads of one API; ValueError for an unknown API, before anything is planned.
 
-def read(payloads: DataFrame, api: str, column: str = "payload") -> DataFrame:
-    """Papers of landed payloads of one API; ValueError for an unknown API, before anything is planned."""
+    ``sort_by`` orders arXiv results; by relevance they stay as they landed.
+    """
     if api not in READERS:
         raise ValueError(f"unknown api {api!r}; known: {sorted(READERS)}")
-    return READERS[api](payloads, column)
+    found = READERS[api](payloads, column)
+    if api == "arxiv":
+        found = found.orderBy(F.desc(SORTS[sort_by]), "id") if sort_by in SORTS else found
+        return found.drop("updated")
+    return found
 
 
 def pdf_url_of(paper_id: Column) -> Column:
@@ -85,6 +118,12 @@ def link(pdf_url: Column, entry_url: Column) -> Column:
     return F.coalesce(F.nullif(pdf_url, F.lit("")), entry_url)
 
 
+def fetched(spark: SparkSession, path: str) -> DataFrame:
+    """file, size, content of landed documents, as binary files; empty ones were never fetched."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), "content")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of landed ``.txt`` files, one row per file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -162,7 +162,7 @@ def test_readers(spark):
         "semantic_scholar": '{"data":[{"paperId":"a","title":" T ","authors":[{"name":"N"},{}],"year":2020,"openAccessPdf":{"url":"u"}}]}',
         "crossref": '{"message":{"items":[{"DOI":"d","title":["T"],"author":[{"given":"G","family":"F"},{"family":"X"}],"published-online":{"date-parts":[[2019,5]]},"URL":"u"}]}}',
         "arxiv": '{"entries":[{"entry_id":"e","title":"T","summary":"S","published":"2021-01-01","authors":["A"],"links":[{"href":"h","title":"x"},{"href":"z.pdf","title":"y"}]}]}',
-        "pubmed": '{"articles":[{"pmid":"1","title":"T","abstract_text":["a","b"],"authors":[{"ForeName":"F","LastName":"L"},{"LastName":"M"}],"year":"2018"}]}',
+        "pubmed": '{"PubmedArticleSet":{"PubmedArticle":[{"MedlineCitation":{"PMID":{"$":"1"},"Article":{"ArticleTitle":"T","Abstract":{"AbstractText":["a","b"]},"AuthorList":{"Author":[{"ForeName":"F","LastName":"L"},{"LastName":"M"}]}},"DateCompleted":{"Year":"2018","Month":"5"}}}]}}',
     }
     year = {"semantic_scholar": 2020, "crossref": 2019, "arxiv": 2021, "pubmed": 2018}
     for api, p in pay.items():
