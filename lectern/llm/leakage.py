@@ -6,8 +6,9 @@ is hashed with the same masks and looked up; around each hit the two texts are
 compared token by token, which yields the exact run and the overlap that tolerates
 substitutions.
 
-The test side is processed in blocks of at most BLOCK windows, each block against
-all documents, so what is sent to the executors has a fixed bound.
+The test side is processed in blocks of about BLOCK windows, one after the other, each
+block against all documents, so what is held by the driver and the executors has a fixed
+bound, whatever the number of test texts.
 
 Null and empty texts on either side give no rows; repeated rows and items give their
 own rows; a test text shorter than SPAN tokens cannot be found.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import codes
+from lectern.session import cut
 
 #: Tokens a window spans.
 SPAN = 12
@@ -142,23 +144,31 @@ def search(index: Index, doc_ids: list, texts: list) -> Iterator[tuple]:
             yield doc_ids[group[doc]], item_id, part, p - back + lo - b0, q - back + lo - q0, run, overlap, matched
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per overlap of a document (doc_id, text) with a test text (item_id, prompt, solution)."""
-    from pyspark.sql import Window
+def _blocks(parts: DataFrame) -> tuple[DataFrame, int]:
+    """The test texts with the number of their block, and the number of blocks.
 
-    parts = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in ("prompt", "solution")])).alias("p"))
-    parts = parts.select("item_id", "p.*").where("length(text) >= 12")
-    # blocks by running length: every block is bounded, whatever the number of items
-    size = F.sum(F.length("text")).over(Window.orderBy("item_id", "part").rowsBetween(Window.unboundedPreceding, -1))
+    A text goes to a block by the hash of its item; blocks hold about BLOCK windows.
+    """
     total = parts.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // (2 * BLOCK))
-    blocked = parts.withColumn("block", F.floor(F.coalesce(size, F.lit(0)) / (2 * BLOCK))) if blocks > 1 else parts.withColumn("block", F.lit(0))
+    return parts.withColumn("block", F.pmod(F.xxhash64("item_id", "part"), F.lit(max(blocks, 1)))), blocks
+
+
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """One row per overlap of a document (doc_id, text) with a test text (item_id, prompt, solution).
+
+    With more than one block, each block is searched for and written before the next
+    index is made, so only one index is held at a time.
+    """
+    parts = items.select("item_id", F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in ("prompt", "solution")])).alias("p"))
+    blocked, blocks = _blocks(parts.select("item_id", "p.*").where("length(text) >= 12"))
+    texts = documents.select("doc_id", "text").where("length(text) >= 12")
     out = None
     for block in range(blocks):
         rows = blocked.where(F.col("block") == block).select("item_id", "part", "text").collect()
         if not rows:
             continue
-        index = documents.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in sorted(rows, key=lambda r: (r[0], r[1]))]))
+        index = documents.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2]))]))
 
         def run(batches, index=index):
             for batch in batches:
@@ -166,6 +176,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                 columns = list(zip(*found)) or [[] for _ in _RESULT]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _RESULT)], schema=_RESULT)
 
-        part = documents.select("doc_id", "text").where("length(text) >= 12").mapInArrow(run, _DDL)
+        part = texts.mapInArrow(run, _DDL)
+        if blocks > 1:
+            part = cut(part)
+            index.destroy()
         out = part if out is None else out.unionAll(part)
     return out if out is not None else documents.sparkSession.createDataFrame([], _DDL)

@@ -12,9 +12,10 @@
 4. *Check.*  Matches are compared character by character around the anchor; spans
    of SPAN characters or more are reported.
 
-Equal texts are one class from the start; classes are expanded at the end.  A hot
-anchor is split into blocks of BLOCK contexts, and every pair of blocks is a group of
-its own, so that no group grows with the data.
+Equal texts are one class from the start; classes are expanded at the end.  The contexts
+of a hot anchor (more than BLOCK) are grouped by longer keys instead, so that only those
+that share nearly a whole span meet; a key that is still hot is split into blocks of BLOCK
+contexts, and every pair of blocks is a group of its own.
 
 Null and empty texts and texts shorter than SPAN share nothing.
 """
@@ -48,6 +49,8 @@ PHRASE_GRAM, PHRASE_WINDOW = 8, 24
 SURE = SPAN - 2 * (PHRASE_GRAM + PHRASE_WINDOW)
 #: Most different contexts of one anchor in one group.
 BLOCK = 1500
+#: Steps of the longer keys of hot anchors, in characters.
+REFINE = 48
 #: Contexts in a shard, on average.
 SHARD = 6000
 
@@ -236,13 +239,32 @@ def _groups(documents: DataFrame) -> DataFrame:
     ctx = rep.join(places, "th").select("th", "text", "places").mapInArrow(_contexts, "th long, pos int, anchor long, n long, left int, ctx string")
     total = places.agg(F.sum(F.size("places"))).first()[0] or 0
     shards = max(1, total // SHARD)
-    ctx = ctx.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    ctx = ctx.withColumn("blk", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+    kept = ["th", "pos", "anchor", "left", "ctx"]
+    usual = ctx.where(F.col("n") <= BLOCK).select(*kept, F.lit(0).alias("blk"), F.lit(0).alias("blk_lo"), F.lit(0).alias("blk_hi"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return usual.unionByName(_refined(ctx.where(F.col("n") > BLOCK).select(*kept)))
+
+
+def _refined(ctx: DataFrame) -> DataFrame:
+    """The contexts of hot anchors, grouped by more of the text around the anchor.
+
+    A span of SPAN characters that holds the anchor begins between i and i + 1 steps of
+    REFINE left of it for some i, so it holds the SPAN - REFINE characters from i steps left
+    on: contexts that share a span meet under one of these longer keys, and those that share
+    only the anchor don't.  A key that is still hot is shared in nearly all its length by
+    all its contexts, so that its pairs are results; it is split into pairs of blocks.
+    """
+    reach = F.col("left") >= F.col("i") * REFINE
+    ahead = F.length("ctx") - F.col("left") >= SPAN - (F.col("i") + 1) * REFINE
+    steps = ctx.select("*", F.explode(F.sequence(F.lit(0), F.lit((SPAN - GRAM) // REFINE))).alias("i")).where(reach & ahead)
+    key = F.xxhash64("anchor", "i", F.substring(F.col("ctx"), F.col("left") + 1 - F.col("i") * REFINE, F.lit(SPAN - REFINE)))
+    steps = cut(steps.withColumn("key", key).drop("i"))
+    sizes = steps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    d = steps.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    d = d.withColumn("blk", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     # a context meets every other block once: its own block's group and one group per other block
-    ctx = ctx.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ctx = ctx.withColumn("blk_lo", F.least("blk", "other")).withColumn("blk_hi", F.greatest("blk", "other"))
-    hot = F.col("blocks") > 1
-    return ctx.withColumn("shard", F.when(hot, F.xxhash64("anchor", "blk_lo", "blk_hi")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
+    d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumn("blk_lo", F.least("blk", "other")).withColumn("blk_hi", F.greatest("blk", "other"))
+    return d.select("th", "pos", "anchor", "left", "ctx", "blk", "blk_lo", "blk_hi", F.xxhash64("key", "blk_lo", "blk_hi").alias("shard"))
 
 
 def shared_pairs(documents: DataFrame) -> DataFrame:

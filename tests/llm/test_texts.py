@@ -414,3 +414,44 @@ def test_a_further_language_becomes_a_candidate_by_its_labels():
     english = [("how can one improve the archive with the help of methods", ["en"], [3])]
     assert language.fit(swedish + english).segments("hur kan man förbättra arkivet med nya metoder")[0][2] == "sv"
     assert "sv" not in language.fit(swedish[:20] + english).scripts["latin"]
+
+
+def test_spans_that_start_or_end_inside_longer_runs(spark):
+    rng = random.Random(11)
+    docs = []
+    for i in range(96):
+        period = i % 8 + 1
+        unit = "".join(rng.choice("-=*#_.") for _ in range(period))
+        held = rng.randrange(40, 380)
+        passage = noise(rng, sharedspans.SPAN - held + rng.choice([0, 0, 1, 30]))
+        for k in range(2):
+            # both documents hold the last (or first) `held` characters of a run, which is longer in each by another number
+            run = (unit * 1000)[: held + rng.randrange(0, 700)]
+            run = (unit * 1000)[len(run) % period :][: len(run)] if rng.random() < 0.3 else run
+            docs.append((2 * i + k, noise(rng, 80) + (run + passage if i % 16 < 8 else passage + run) + noise(rng, 80)))
+    got = {tuple(r) for r in sharedspans.shared_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_pairs(docs) and len(got) > 30
+
+
+def test_hot_anchor_with_different_surroundings(spark, monkeypatch):
+    rng = random.Random(12)
+    heads = [noise(rng, 380) for _ in range(3)]
+    mark = noise(rng, 150)
+    docs = [(i, noise(rng, 60) + heads[i % 3][: rng.choice([200, 380])] + mark + noise(rng, 500)) for i in range(24)]
+    docs += [(100 + i, noise(rng, 500) + mark + heads[i % 3][:rng.choice([260, 380])] + noise(rng, 60)) for i in range(12)]
+    monkeypatch.setattr(sharedspans, "BLOCK", 5)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {tuple(r) for r in sharedspans.shared_pairs(d).collect()}
+    assert got == brute_pairs(docs) and len(got) > 20
+    share = {r.doc_id for r in sharedspans.shared_share(d).where("shared_chars > 0").collect()}
+    assert share == {x for p in got for x in p}
+
+
+def test_leaks_block_by_block(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, " ".join(words(rng, 30)), None) for i in range(9)]
+    docs = [(i, " ".join(items[i][1].split()[3:18])) for i in range(9)] + [(50, items[0][1] + " " + items[8][1])]
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, prompt string, solution string")
+    whole = {tuple(r) for r in leakage.leaks(d, t).collect()}
+    monkeypatch.setattr(leakage, "BLOCK", 300)
+    assert {tuple(r) for r in leakage.leaks(d, t).collect()} == whole and len(whole) == 11
