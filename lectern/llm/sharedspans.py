@@ -236,12 +236,16 @@ def _groups(documents: DataFrame) -> DataFrame:
     places = cut(places.agg(F.collect_list(F.struct("pos", "anchor", "n")).alias("places")))
     one = texts.groupBy("th").agg(F.min("doc_id").alias("doc_id"))
     rep = texts.join(one, ["th", "doc_id"], "left_semi").select("th", "text")
-    ctx = rep.join(places, "th").select("th", "text", "places").mapInArrow(_contexts, "th long, pos int, anchor long, n long, left int, ctx string")
-    total = places.agg(F.sum(F.size("places"))).first()[0] or 0
-    shards = max(1, total // SHARD)
-    kept = ["th", "pos", "anchor", "left", "ctx"]
-    usual = ctx.where(F.col("n") <= BLOCK).select(*kept, F.lit(0).alias("blk"), F.lit(0).alias("blk_lo"), F.lit(0).alias("blk_hi"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    return usual.unionByName(_refined(ctx.where(F.col("n") > BLOCK).select(*kept)))
+    total, most = places.agg(F.sum(F.size("places")), F.max(F.array_max(F.transform("places", lambda p: p["n"])))).first()
+    shards = max(1, (total or 0) // SHARD)
+
+    def contexts(keep) -> DataFrame:
+        own = places.select("th", F.filter("places", keep).alias("places")).where(F.size("places") > 0)
+        found = rep.join(own, "th").select("th", "text", "places").mapInArrow(_contexts, "th long, pos int, anchor long, n long, left int, ctx string")
+        return found.select("th", "pos", "anchor", "left", "ctx")
+
+    usual = contexts(lambda p: p["n"] <= BLOCK).select("*", F.lit(0).alias("blk"), F.lit(0).alias("blk_lo"), F.lit(0).alias("blk_hi"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return usual if (most or 0) <= BLOCK else usual.unionByName(_refined(contexts(lambda p: p["n"] > BLOCK)))
 
 
 def _refined(ctx: DataFrame) -> DataFrame:
