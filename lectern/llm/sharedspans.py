@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ SURE = SPAN - 2 * (PHRASE_GRAM + PHRASE_WINDOW)
 #: Most different contexts of one anchor in one group.
 BLOCK = 1500
 #: Steps of the longer keys of hot anchors, in characters.
-REFINE = 48
+REFINE = 112
 #: Contexts in a shard, on average.
 SHARD = 6000
 
@@ -238,32 +239,42 @@ def _groups(documents: DataFrame) -> DataFrame:
     rep = texts.join(one, ["th", "doc_id"], "left_semi").select("th", "text")
     total, most = places.agg(F.sum(F.size("places")), F.max(F.array_max(F.transform("places", lambda p: p["n"])))).first()
     shards = max(1, (total or 0) // SHARD)
+    whole = rep.join(places.hint("merge"), "th").select("th", "text", "places")
+    ctx = whole.mapInArrow(_contexts, "th long, pos int, anchor long, n long, left int, ctx string")
+    one = [F.lit(0).alias(c) for c in ("blk", "blk_lo", "blk_hi")]
+    usual = ctx.where(F.col("n") <= BLOCK).select("th", "pos", "anchor", "left", "ctx", *one, F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
+    return usual if (most or 0) <= BLOCK else usual.unionByName(_refined(whole, ctx.where(F.col("n") > BLOCK)))
 
-    def contexts(keep) -> DataFrame:
-        own = places.select("th", F.filter("places", keep).alias("places")).where(F.size("places") > 0)
-        found = rep.join(own, "th").select("th", "text", "places").mapInArrow(_contexts, "th long, pos int, anchor long, n long, left int, ctx string")
-        return found.select("th", "pos", "anchor", "left", "ctx")
 
-    usual = contexts(lambda p: p["n"] <= BLOCK).select("*", F.lit(0).alias("blk"), F.lit(0).alias("blk_lo"), F.lit(0).alias("blk_hi"), F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"))
-    return usual if (most or 0) <= BLOCK else usual.unionByName(_refined(contexts(lambda p: p["n"] > BLOCK)))
+def _hot_keys(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """th, pos, key: the longer keys of the places of hot anchors."""
+    for batch in batches:
+        rows = []
+        for t, body, places in zip(*(c.to_pylist() for c in batch.columns)):
+            for p in places:
+                if p["n"] > block:
+                    for i in range((SPAN - GRAM) // REFINE + 1):
+                        lo, hi = p["pos"] - i * REFINE, p["pos"] + SPAN - (i + 1) * REFINE
+                        if lo >= 0 and hi <= len(body):
+                            rows.append((t, p["pos"], xxhash.xxh64_intdigest(f"{p['anchor']} {i} {body[lo:hi]}".encode("utf-8", "surrogatepass")) - (1 << 63)))
+        columns = list(zip(*rows)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["th", "pos", "key"])
 
 
-def _refined(ctx: DataFrame) -> DataFrame:
+def _refined(whole: DataFrame, ctx: DataFrame) -> DataFrame:
     """The contexts of hot anchors, grouped by more of the text around the anchor.
 
     A span of SPAN characters that holds the anchor begins between i and i + 1 steps of
     REFINE left of it for some i, so it holds the SPAN - REFINE characters from i steps left
     on: contexts that share a span meet under one of these longer keys, and those that share
-    only the anchor don't.  A key that is still hot is shared in nearly all its length by
-    all its contexts, so that its pairs are results; it is split into pairs of blocks.
+    only the anchor don't.  A key that is still hot is shared in most of its length by all
+    its contexts, so that its pairs are results; it is split into pairs of blocks.
     """
-    reach = F.col("left") >= F.col("i") * REFINE
-    ahead = F.length("ctx") - F.col("left") >= SPAN - (F.col("i") + 1) * REFINE
-    steps = ctx.select("*", F.explode(F.sequence(F.lit(0), F.lit((SPAN - GRAM) // REFINE))).alias("i")).where(reach & ahead)
-    key = F.xxhash64("anchor", "i", F.substring(F.col("ctx"), F.col("left") + 1 - F.col("i") * REFINE, F.lit(SPAN - REFINE)))
-    steps = cut(steps.withColumn("key", key).drop("i"))
-    sizes = steps.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    d = steps.join(sizes.hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    keys = whole.mapInArrow(lambda batches, block=BLOCK: _hot_keys(batches, block), "th long, pos int, key long")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = keys.join(sizes.hint("merge"), "key").groupBy("th", "pos").agg(F.collect_list(F.struct("key", "n")).alias("keys"))
+    d = ctx.drop("n").join(met.hint("merge"), ["th", "pos"]).select("th", "pos", "anchor", "left", "ctx", F.explode("keys").alias("k"))
+    d = d.select("th", "pos", "anchor", "left", "ctx", "k.key", F.ceil(F.col("k.n") / BLOCK).cast("int").alias("blocks"))
     d = d.withColumn("blk", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
     # a context meets every other block once: its own block's group and one group per other block
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
