@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts.
 
 A hidden-event n-gram language model: a boundary token may be hidden behind every
-terminator and at every line break outside quotations and brackets.  The model knows
+terminator, at every line break and at every space of a script without stops, outside
+quotations and brackets.  The model knows
 how often a boundary follows a word (or the last characters, where words aren't spaced)
 and which words follow a boundary or stand inside a sentence, with back-off to shapes
 for rare words; forward-backward over these gaps of a text gives the posterior of each boundary.  It is trained without labels: a first guess
@@ -10,10 +11,10 @@ texts.  Each round is a distributed count: a task weighs the gaps of its texts,
 by word and shape make the next model.  Weights are whole numbers, so the sums don't
 depend on the partitions.
 
-Structure restricts the gaps: inside an open quotation or bracket there is none, a
-blank line always is one, and in scripts without a full stop the spaces that stand
-beside no numeral are boundaries by rule, as the writer set the units apart with them.
-Between words of one line without a terminator there is no gap.
+Structure restricts the gaps: inside an open quotation or bracket there is none and a
+blank line always is one.  Between words of one line without a terminator there is no
+gap in scripts that have stops.  What is usual behind full-width stops, the danda and the
+spaces of scripts without stops enters as a prior of the model (PRIORS).
 
 Null texts, empty ones and ones of white space give no units.  Texts of any length are
 handled whole; repeated rows give their own units.
@@ -37,6 +38,10 @@ from lectern.session import cut
 ROUNDS, WHOLE, FLUSH = 4, 1 << 20, 200_000
 #: Weight of a word's shape against its own counts.
 BACKOFF = 2.0
+#: Pseudo-counts and share of boundaries behind marks and spaces of scripts that have a clear use for them, so that few texts do.
+PRIORS = {"cjk。": (200.0, 0.999), "cjk！": (200.0, 0.999), "cjk？": (200.0, 0.999), "danda": (200.0, 0.999), "thai space": (200.0, 0.998), "thai num": (200.0, 0.002)}
+#: Pseudo-count of each pair of neighbouring events.
+STEP = 10.0
 #: Share of the words not seen before, inside sentences and at their starts.
 UNSEEN = (0.02, 0.002)
 #: Words and characters of a line that may be a heading, at most (characters where words aren't spaced).
@@ -58,6 +63,7 @@ _TAIL = re.compile(r"\s*(?:(?:Key ?words|Index terms|Mots-clés|Schlüsselwörte
 _LAST = re.compile(r"([^\s\"“”„«»‘()（）\[\]【】]+)[\s\"“”«»’)）\]】」』]*$")
 _FIRST = re.compile(r"\s*([\"“„«‘「『(（\[【]?)\s*([^\s\"“”„«»‘()（）\[\]【】]+)?")
 _UNSPACED = re.compile("[぀-ヿ㐀-鿿]")
+_THAI = re.compile("[฀-๿]")
 _DIGIT = re.compile(r"\d")
 
 
@@ -76,6 +82,10 @@ def _line(text: str, end: int) -> str:
 
 def _left(text: str, end: int) -> tuple[str, str]:
     """(word with its final marks, shape) before a gap."""
+    if 0 < end < len(text) and text[end].isspace():
+        after = text[end : end + 20].lstrip()[:1]
+        if _THAI.match(text[end - 1]) or _THAI.match(after):
+            return _DIGIT.sub("0", text[max(0, end - 3) : end]), "thai num" if text[end - 1].isdigit() or after.isdigit() else "thai space"
     if text[end : end + 1] == "\n" and text[end - 1] not in ".!?…。！？।؟" and not (text[end - 1] in _CLOSE or text[end - 1] in "\"'"):
         m = _LAST.search(text, max(0, end - 40), end)
         return _DIGIT.sub("0", (m.group(1) if m else text[max(0, end - 3) : end]).lower()) + "\n", _line(text, end)
@@ -99,6 +109,8 @@ def _right(text: str, start: int) -> tuple[str, str]:
     spaced = "" if text[start : start + 1].isspace() or not text[start : start + 1] else "~"
     if _UNSPACED.match(word):
         return word[:2], "cjk" + mark
+    if _THAI.match(word):
+        return word[:2], "other" + mark
     word = word.rstrip(".,;:!?")
     if not word:
         return "", "none" + mark
@@ -161,8 +173,8 @@ def gaps(text: str) -> tuple[list[int], list[int]]:
         elif c.isspace():
             thai = s and "฀" <= text[s - 1] <= "๿" or e < n and "฀" <= text[e : e + 1] <= "๿"
             if thai:
-                if depth == 0 and not (text[s - 1 : s].isdigit() or text[e : e + 1].isdigit()):
-                    certain.append(s)
+                if depth == 0:
+                    candidates.append(s)
             elif depth == 0 and ch == "\n" and _TAIL.match(text, s):
                 certain.append(s)
             elif depth == 0 and ch == "\n" and text[max(ended, 0) : s].strip():
@@ -203,7 +215,7 @@ class Model:
         self.next: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         self.next_shape: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
         self.pair: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0.0])
-        self.step = [[[1.0, 1.0], [1.0, 1.0]] for _ in range(3)]
+        self.step = [[[STEP, STEP], [STEP, STEP]] for _ in range(3)]
         self.total = [1e-9, 1e-9]
         self.memo: dict[tuple, float] = {}
 
@@ -239,7 +251,10 @@ class Model:
             return got
         none = (0.0, 0.0)
         shape = self.end_shape.get(left[1], none)
-        prior = (shape[1] + 0.5) / (shape[0] + shape[1] + 1.0)
+        weight, end = PRIORS.get(left[1], (1.0, 0.5))
+        if left[0].endswith("।"):
+            weight, end = PRIORS["danda"]
+        prior = (shape[1] + weight * end) / (shape[0] + shape[1] + weight)
         own = self.end.get(left[0], none)
         p = (own[1] + BACKOFF * prior) / (own[0] + own[1] + BACKOFF)
         out = math.log(p / (1 - p)) if 0 < p < 1 else 0.0
@@ -262,8 +277,7 @@ class Model:
 
     def posteriors(self, sides: list[tuple], far: list[int]) -> list[float]:
         """Forward-backward over the candidate gaps of a text, given their words and distances."""
-        # a full-width stop or danda outside quotations always ends a sentence
-        up = [1e13 if x[0][1] in ("cjk。", "cjk！", "cjk？") or x[0][0].endswith("।") else math.exp(max(-30.0, min(30.0, self.odds(*x)))) for x in sides]
+        up = [math.exp(max(-30.0, min(30.0, self.odds(*x)))) for x in sides]
         step = [[[row[j] / (row[0] + row[1]) * 2 for j in (0, 1)] for row in bucket] for bucket in self.step]
         forward, state = [], (0.0, 1.0)  # a text starts behind a boundary
         for f, o in zip(far, up):
@@ -291,13 +305,15 @@ def first_guess(left: tuple[str, str], right: tuple[str, str]) -> float | None:
     kind, shape = left[1].split(" ")[0], right[1]
     if kind == "line":  # short lines of their own before a capital are headings
         return 0.002 if "head" not in left[1] else None if "lower" in shape or "num" in shape else 0.9
+    if kind == "thai":  # the script has no stop: its spaces set sentences apart, except beside numerals
+        return 0.998 if left[1] == "thai space" else 0.002
     plain = kind in ("w3", "w4", "w5", "year")
     if "lower" in shape:
         return None if plain and mark == "." and not left[1].endswith("q") else 0.002
     if left[1].startswith("cjk"):
-        return 1.0 if left[1][-1] in "。！？" else None
+        return 0.999 if left[1][-1] in "。！？" else None
     if mark == "।":
-        return 1.0
+        return 0.999
     if left[1].endswith("q"):
         return None
     if mark in "!?।؟":
