@@ -54,11 +54,13 @@ PHRASES = (
     r"|^traceback \(most recent call last.*|^\s*file \"[^\"]+\", line \d+.*|^\W?\w*(?:error|exception)\b\W* .*"
     r"|\b(?:enable|activate|activer|aktivieren|active|turn on|requires?|needs?)\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b(?:enable|activer|aktivieren|required|disabled|switched|available)\b|^checking your browser.*|^your (?:browser|session|request) (?:has|is|was|does)\b.*"
     r"|^(?:unable|failed) to (?:extract|generate|load|process|retrieve|find)\b.*|\bcould not be (?:processed|produced|generated|located|extracted|found|loaded)\b.*|\bunavailable\b.*|\boffline\b|\bno (?:text|answer|summary) (?:was |could be )?(?:generated|produced|found|available)\b|\bnothing (?:was )?(?:extracted|found)\b"
-    r"|\bpage not found\b|\bpage .{0,20}introuvable\b|\bseite nicht gefunden\b|\bpágina no encontrada\b|\bpage you are looking for\b.*|^this (?:page|site) (?:is|requires|cannot)\b.*|\bsomething went wrong\b|\btry again later\b"
+    r"|\bpage not found\b|\bpage .{0,20}introuvable\b|\bseite nicht gefunden\b|\bpágina no encontrada\b|\bpage you are looking for\b.*|^this (?:page|site) (?:is|requires|cannot)\b.*|\bsomething went wrong\b|\btry again later\b|^you have (?:reached|exceeded)\b.*\blimit\b.*"
     r"|^(?:todo|tbd|fixme|x{3,})\b.*|\bto be (?:completed|written|added|determined)\b|\bà compléter\b|\bpendiente de \w+|\btext folgt\b|\bfill(?:ed)? in later\b|\bhier steht\b.*\btext\b|\b(?:sample|dummy|placeholder|your) text\b|\btext goes here\b|\btexte d'exemple\b|\btexto de ejemplo\b"
 )
 #: Words of filler text; a part made of them is filler.
 FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit eiusmod tempor incididunt labore magna aliqua quis nostrud exercitation ullamco laboris nisi bla blah dummy xxx foo bar baz qux asdf qwer qwerty jkl hjkl test".split()
+#: Mark of an unfinished last part, a word of its own for the classifier.
+TAIL = " \x03"
 #: Words of sentences that speak about slots.
 MENTION = r"\b(?:slots?|templates?|placeholders?|variables?)\b"
 
@@ -73,8 +75,11 @@ _RARE = r"(?i)lorem|ipsum|adipiscing|ullamco|\bbla\b|blah|dummy|\bxxx|asdf|qwer|
 
 
 def parts(value: str) -> list[str]:
-    """The sentences and lines of a value."""
-    return [p for p in (x.strip() for x in _PARTS.split(value)) if p]
+    """The sentences and lines of a value; the last of several is marked with TAIL if it has no end."""
+    out = [p for p in (x.strip() for x in _PARTS.split(value)) if p]
+    if len(out) > 1 and out[-1][-1].isalnum():
+        out[-1] += TAIL
+    return out
 
 
 def weak_label(part: str) -> bool | None:
@@ -217,7 +222,7 @@ def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
                 tbl, key, text = (c.slice(at, 2000).to_pylist() for c in batch.columns)
                 found = _judged([parts(t) for t in text], sent.value)
                 score = [s for s, _ in found]
-                columns = [pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(score, pa.float64()), pa.array([p for _, p in found], pa.string()), pa.array([s > SURE for s in score], pa.bool_())]
+                columns = [pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(score, pa.float64()), pa.array([p.removesuffix(TAIL) for _, p in found], pa.string()), pa.array([s > SURE for s in score], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["tbl", "row_key", "score", "part", "rejected"])
 
     return of.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)

@@ -3,8 +3,8 @@
 A stack automaton checks the structure of every value: unclosed quotes, brackets and
 markup, broken characters and escapes, marks of truncation.  A value that ends without
 a terminator is held against the corpus: whether its last words were ever seen to end
-a sentence, and whether its length is a limit at which the field's unfinished values
-pile up (the baseline of the source).  Word statistics are counted over all different
+a sentence, and whether its length is a limit at which the unfinished values of its
+source pile up, or those of all sources of the field.  Word statistics are counted over all different
 texts, so that copies of a cut text don't vouch for each other.
 
 Null and empty values are no cases.  Repeated rows are cases of their own.
@@ -209,6 +209,14 @@ def _longer(words: DataFrame, asked: DataFrame, keys: list[str], name: str) -> D
     return words.join(asked, keys).groupBy(*keys).agg(F.sum("n").alias(name))
 
 
+def _spikes(bare: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: the lengths at which different unfinished values (n, th) of a group pile up against lengths nearby; one row per length."""
+    at = bare.groupBy(*keys, "n").agg(F.count("*").alias("c"))
+    near = at.select(*keys, F.explode(F.sequence(F.col("n") - NEARBY, F.col("n") + NEARBY)).alias("n"), F.col("c").alias("c2")).groupBy(*keys, "n").agg(F.sum("c2").alias("around"))
+    spikes = at.join(near, [*keys, "n"]).where((F.col("c") >= SPIKE_LEAST) & (F.col("c") * 2 * NEARBY >= SPIKE * (F.col("around") - F.col("c"))))
+    return spikes.select(*keys, "n")
+
+
 def verdicts(values: DataFrame) -> DataFrame:
     """tbl, row_key, field, source, is_cut for all values (tbl, row_key, field, source, text)."""
     values = values.where("length(text) > 0")
@@ -221,13 +229,14 @@ def verdicts(values: DataFrame) -> DataFrame:
     behind = _longer(stats.join(asked.select("w1").distinct(), "w1", "left_semi").select("w1", "w2", (F.col("go") + F.col("end")).alias("n")), asked, ["w1", "w2"], "longer")
     asked = seen.where("verdict = 'label'").select("w2").distinct()
     anywhere = _longer(word.select("w2", (F.col("uses") + F.col("w_fin")).alias("n")), asked, ["w2"], "w_longer")
-    # lengths at which different unfinished values of a field pile up; one row per length
-    bare = F.col("verdict").isin("ask", "label", "cut")
-    at = seen.where(bare).groupBy("tbl", "field", "n").agg(F.count_distinct("th").alias("c"))
-    near = at.select("tbl", "field", F.explode(F.sequence(F.col("n") - NEARBY, F.col("n") + NEARBY)).alias("n"), F.col("c").alias("c2")).groupBy("tbl", "field", "n").agg(F.sum("c2").alias("around"))
-    spikes = at.join(near, ["tbl", "field", "n"]).where((F.col("c") >= SPIKE_LEAST) & (F.col("c") * 2 * NEARBY >= SPIKE * (F.col("around") - F.col("c"))))
+    # the limits of the value's source, and those of the whole field, which texts bring along that were cut before
+    seen = seen.withColumn("source", F.coalesce("source", F.lit("")))
+    bare = seen.where(F.col("verdict").isin("ask", "label", "cut")).select("tbl", "field", "source", "n", "th").distinct()
+    every = _spikes(bare.select("tbl", "field", "n", "th").distinct(), ["tbl", "field"])
+    sources = bare.select("tbl", "field", "source").distinct()
+    spikes = _spikes(bare, ["tbl", "field", "source"]).unionByName(every.join(sources, ["tbl", "field"]).select("tbl", "field", "source", "n")).distinct()
     open_ = seen.where(~F.col("verdict").isin("complete", "cut")).join(stats, ["w1", "w2"], "left").join(word, "w2", "left").join(behind, ["w1", "w2"], "left").join(anywhere, "w2", "left")
-    open_ = open_.join(spikes.select("tbl", "field", "n", F.lit(True).alias("limit")), ["tbl", "field", "n"], "left").na.fill(0, ["go", "end", "dots", "abbr", "uses", "w_abbr", "w_end", "w_fin", "w_dots", "longer", "w_longer"])
+    open_ = open_.join(spikes.withColumn("limit", F.lit(True)), ["tbl", "field", "source", "n"], "left").na.fill(0, ["go", "end", "dots", "abbr", "uses", "w_abbr", "w_end", "w_fin", "w_dots", "longer", "w_longer"])
     share = F.col("end") / F.greatest(F.col("go") + F.col("end"), F.lit(1))
     bare_end = (F.col("go") + F.col("end") > 0) & (share >= ENDS)
     whole = (F.col("uses") > 0) & (F.col("uses") >= WHOLE * (F.col("uses") + F.col("w_dots") + F.col("w_fin")))
