@@ -130,11 +130,8 @@ def _cut_values(spark: SparkSession, sf: str) -> DataFrame:
         .unionAll(of("search_results", "result_id", "abstract_summary", "method")).unionAll(of("search_results", "result_id", "final_response", "method"))
     )
     # residue is no truncated text
-    checked = _residue_values(spark, sf)
-    residues = residue.verdicts(checked, checked.where("tbl = 'search_results'")).where("rejected").select("tbl", "row_key").distinct()
-    residues = residues.select("tbl", "row_key", F.lit("final_response").alias("field"), F.lit(False).alias("clean"))
-    judged = truncation.verdicts(values).join(residues, ["tbl", "row_key", "field"], "left")
-    return judged.withColumn("is_cut", F.col("is_cut") & F.coalesce("clean", F.lit(True))).drop("clean")
+    checked = F.col("field") == "final_response"
+    return truncation.verdicts(values.withColumn("checked", checked), residue.rejecter(_residue_values(spark, sf)))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -204,17 +204,24 @@ def _judged(items: list[list[str]], model: Classifier) -> list[tuple[float, str]
     return out
 
 
-def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """tbl, row_key, score, part, rejected for all values (tbl, row_key, text, host): the worst part and its score.
-
-    ``of`` limits the result to some of the rows; the classifier is fitted on ``values``.
-    """
+def fitted(values: DataFrame):
+    """A broadcast classifier fitted on the values (tbl, row_key, text, host); None if one of the labels is missing."""
     items, labels, _ = labelled(values)
+    return None if not labels.any() or labels.all() else values.sparkSession.sparkContext.broadcast(Classifier(items, labels))
+
+
+def rejecter(values: DataFrame):
+    """A function that tells of each text of a list whether it is or holds residue, by a classifier fitted on ``values``."""
+    sent = fitted(values)
+    return lambda texts: [False] * len(texts) if sent is None else [s > SURE for s, _ in _judged([parts(t) for t in texts], sent.value)]
+
+
+def verdicts(values: DataFrame) -> DataFrame:
+    """tbl, row_key, score, part, rejected for all values (tbl, row_key, text, host): the worst part and its score."""
     schema = "tbl string, row_key long, score double, part string, rejected boolean"
-    of = values if of is None else of
-    if not labels.any() or labels.all():
+    sent = fitted(values)
+    if sent is None:
         return values.where("false").select("tbl", "row_key", F.lit(0.0).alias("score"), F.lit("").alias("part"), F.lit(False).alias("rejected"))
-    sent = values.sparkSession.sparkContext.broadcast(Classifier(items, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,7 +232,7 @@ def verdicts(values: DataFrame, of: DataFrame | None = None) -> DataFrame:
                 columns = [pa.array(tbl, pa.string()), pa.array(key, pa.int64()), pa.array(score, pa.float64()), pa.array([p.removesuffix(TAIL) for _, p in found], pa.string()), pa.array([s > SURE for s in score], pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, ["tbl", "row_key", "score", "part", "rejected"])
 
-    return of.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)
+    return values.where("length(text) > 0").select("tbl", "row_key", "text").mapInArrow(run, schema)
 
 
 def validate(values: DataFrame) -> DataFrame:

@@ -194,10 +194,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SEEN = pa.schema([("tbl", pa.string()), ("row_key", pa.int64()), ("field", pa.string()), ("source", pa.string()), ("n", pa.int32()), ("verdict", pa.string()), ("w1", pa.string()), ("w2", pa.string()), ("th", pa.int64())])
 
 
-def _examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examine(batches: Iterator[pa.RecordBatch], rejects) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tbl, key, field, source, text, th = (c.to_pylist() for c in batch.columns)
-        rows = [(t, k, f, s, len(v), *examine(v), h) for t, k, f, s, v, h in zip(tbl, key, field, source, text, th)]
+        tbl, key, field, source, text, th, checked = (c.to_pylist() for c in batch.columns)
+        said = [examine(v) for v in text]
+        open_ = [i for i, (verdict, *_) in enumerate(said) if checked[i] and verdict != "complete"]
+        for i, bad in zip(open_, rejects([text[i] for i in open_]) if open_ else ()):
+            if bad:
+                said[i] = ("complete", "", "")
+        rows = [(t, k, f, s, len(v), *x, h) for t, k, f, s, v, x, h in zip(tbl, key, field, source, text, said, th)]
         cols = list(zip(*rows)) or [[] for _ in _SEEN]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SEEN)], schema=_SEEN)
 
@@ -217,10 +222,16 @@ def _spikes(bare: DataFrame, keys: list[str]) -> DataFrame:
     return spikes.select(*keys, "n")
 
 
-def verdicts(values: DataFrame) -> DataFrame:
-    """tbl, row_key, field, source, is_cut for all values (tbl, row_key, field, source, text)."""
+def verdicts(values: DataFrame, rejects=None) -> DataFrame:
+    """tbl, row_key, field, source, is_cut for all values (tbl, row_key, field, source, text).
+
+    ``rejects`` (texts -> booleans) tells which texts are no text of their field at all, of
+    those with a true column ``checked``; these count as complete.
+    """
     values = values.where("length(text) > 0")
-    seen = cut(values.select("tbl", "row_key", "field", "source", "text", F.xxhash64("text").alias("th")).mapInArrow(_examine, "tbl string, row_key long, field string, source string, n int, verdict string, w1 string, w2 string, th long"))
+    checked = F.lit(False) if rejects is None else F.col("checked")
+    examined = lambda batches, rejects=rejects: _examine(batches, rejects)
+    seen = cut(values.select("tbl", "row_key", "field", F.coalesce("source", F.lit("")).alias("source"), "text", F.xxhash64("text").alias("th"), checked.alias("checked")).mapInArrow(examined, "tbl string, row_key long, field string, source string, n int, verdict string, w1 string, w2 string, th long"))
     stats = values.select("text").distinct().mapInArrow(_count, "w1 string, w2 string, go long, end long, dots long, abbr long, fin long")
     stats = cut(stats.groupBy("w1", "w2").agg(*[F.sum(c).alias(c) for c in ("go", "end", "dots", "abbr", "fin")]))
     word = stats.groupBy("w2").agg(F.sum(F.col("go") + F.col("end")).alias("uses"), F.sum("abbr").alias("w_abbr"), (F.sum("end") - F.sum("abbr")).alias("w_end"), F.sum("fin").alias("w_fin"), F.sum("dots").alias("w_dots"))
@@ -230,8 +241,7 @@ def verdicts(values: DataFrame) -> DataFrame:
     asked = seen.where("verdict = 'label'").select("w2").distinct()
     anywhere = _longer(word.select("w2", (F.col("uses") + F.col("w_fin")).alias("n")), asked, ["w2"], "w_longer")
     # the limits of the value's source, and those of the whole field, which texts bring along that were cut before
-    seen = seen.withColumn("source", F.coalesce("source", F.lit("")))
-    bare = seen.where(F.col("verdict").isin("ask", "label", "cut")).select("tbl", "field", "source", "n", "th").distinct()
+    bare = cut(seen.where(F.col("verdict").isin("ask", "label", "cut")).select("tbl", "field", "source", "n", "th").distinct())
     every = _spikes(bare.select("tbl", "field", "n", "th").distinct(), ["tbl", "field"])
     sources = bare.select("tbl", "field", "source").distinct()
     spikes = _spikes(bare, ["tbl", "field", "source"]).unionByName(every.join(sources, ["tbl", "field"]).select("tbl", "field", "source", "n")).distinct()
