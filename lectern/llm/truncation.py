@@ -31,6 +31,8 @@ SPIKE, SPIKE_LEAST, NEARBY = 8, 6, 10
 OWN_DOTS, WHOLE = 0.5, 0.5
 #: A last word of a label line that is used nowhere else ends at least so many different texts.
 LABEL_ENDS = 3
+#: Longest word that may be an abbreviation.
+ABBREVIATION = 6
 #: Entries of a task's counter before it is handed on.
 FLUSH = 400_000
 
@@ -116,7 +118,8 @@ def examine(raw: str) -> tuple[str, str, str]:
     if body and body[-1] in _TERMINATORS:
         if closed or body[-1] != ".":
             return "complete", "", ""
-        return ("stop", *last_words(body))
+        before, word = last_words(body)
+        return ("stop", before, word) if len(word) <= ABBREVIATION else ("complete", "", "")
     if closed and text[-1] in ")]":
         return "complete", "", ""
     if closed and text[-1] in "'’" and body and body[-1].isalnum():
