@@ -29,5 +29,18 @@ def p2_unified(spark: SparkSession, sf: str) -> DataFrame:
     return schema_drift.unified(records, schema_drift.changes(records))
 
 
-QUERIES = {"p2_found": p2_found, "p2_changes": p2_changes, "p2_unified": p2_unified}
-ORACLE: dict[str, str] = {}
+def p2_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of each file with their types."""
+    prof = schema_drift.profiles(table(spark, sf, "run_records", "file_id", "stream_id", "file_seq", "payload"))
+    return prof.select("file_id", F.explode("fields").alias("f")).select("file_id", "f.path", "f.kind").distinct()
+
+
+QUERIES = {"p2_fields": p2_fields, "p2_found": p2_found, "p2_changes": p2_changes, "p2_unified": p2_unified}
+ORACLE: dict[str, str] = {
+    "p2_fields": (
+        "WITH r AS (SELECT file_id, payload FROM run_records WHERE file_id IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),"
+        " t AS (SELECT file_id, j.fullkey AS k, j.type AS t FROM r, json_tree(r.payload) j WHERE j.key IS NOT NULL AND j.type <> 'NULL' AND NOT j.fullkey LIKE '%]')"
+        " SELECT DISTINCT file_id, substr(regexp_replace(replace(k, '\"', ''), '\\[\\d+\\]', '', 'g'), 3) AS path,"
+        " CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind FROM t"
+    )
+}
