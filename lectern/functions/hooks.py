@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: translate (text), embed (text -> array), abstractive (text), final_response (title, authors, year, extract), rewrite (title,
+#: detect (text -> STRUCT<language, confidence>), translate (text), embed (text -> array), abstractive (text), final_response (title, authors, year, extract), rewrite (title,
 #: authors, year, facets), keywords (text -> array), bertscore (candidate, reference -> precision, recall, f1).
-NAMES = ("translate", "embed", "abstractive", "final_response", "rewrite", "keywords", "bertscore")
+NAMES = ("detect", "translate", "embed", "abstractive", "final_response", "rewrite", "keywords", "bertscore")
 
 _plugged: dict[str, Callable[..., Column]] = {}
 _loaded: dict[str, object] = {}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lectern import vocab
 from lectern.functions import hooks
 from lectern.functions import text as T
+from lectern.operators import vectors
 from lectern.session import cut
 
 
@@ -24,8 +25,12 @@ def marker_score(text: Column, markers: list[str]) -> Column:
 def detect_language(text: Column, french: list[str] = vocab.FRENCH_MARKERS, english: list[str] = vocab.ENGLISH_MARKERS) -> Column:
     """STRUCT<language, fr, en, confidence>: ``unknown`` below three characters, French only with more points.
 
-    A null text is ``unknown``.
+    A null text is ``unknown``.  A model's answer counts if it is English or French with a
+    confidence of 0.7 or more.
     """
+    said = hooks.answer("detect", text)
+    sure = F.lit(False) if said is None else F.coalesce(said["language"].isin("en", "fr") & (said["confidence"] >= 0.7), F.lit(False))
+    model = F.struct(F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("confidence")) if said is None else said
     t = F.coalesce(text, F.lit(""))
     short = (F.length(F.trim(t)) < 3) | (F.length(T.clean_for_detection(t)) < 3)
     n = F.size(T.words(T.clean_for_detection(F.lower(t))))
@@ -33,8 +38,8 @@ def detect_language(text: Column, french: list[str] = vocab.FRENCH_MARKERS, engl
     return T.let(
         parts,
         lambda x: F.struct(
-            F.when(x["short"], "unknown").when(x["fr"] > x["en"], "fr").otherwise("en").alias("language"), x["fr"].cast("long").alias("fr"), x["en"].cast("long").alias("en"),
-            F.when(x["short"], F.lit(0.0)).otherwise(F.least(F.greatest(x["fr"], x["en"]) / (x["n"] + 1), F.lit(1.0))).alias("confidence"),
+            F.when(x["short"], "unknown").when(sure, model["language"]).when(x["fr"] > x["en"], "fr").otherwise("en").alias("language"), x["fr"].cast("long").alias("fr"), x["en"].cast("long").alias("en"),
+            F.when(x["short"], F.lit(0.0)).when(sure, model["confidence"]).otherwise(F.least(F.greatest(x["fr"], x["en"]) / (x["n"] + 1), F.lit(1.0))).alias("confidence"),
         ),
     )
 
@@ -100,6 +105,17 @@ def distinct_entities(entities: Column, categories: list[str]) -> Column:
     return F.struct(*[F.array_distinct(F.filter(F.coalesce(entities[c], none), lambda e: F.trim(e) != "")).alias(c) for c in categories])
 
 
+def vocabulary(lists: DataFrame) -> DataFrame:
+    """category, term, pos, embedding of category lists (category, terms): one row per term, pos is its place in its list.
+
+    A term that its category lists again keeps its first place; null and blank terms are
+    left out.  The vectors are made once and should be written before they are asked.
+    """
+    d = lists.select("category", F.posexplode("terms").alias("pos", "term")).where("trim(term) <> ''")
+    d = d.groupBy("category", "term").agg(F.min("pos").cast("long").alias("pos"))
+    return d.withColumn("embedding", vectors.embed(F.col("term")))
+
+
 def entity_topk(queries: DataFrame, vocabulary: DataFrame, k: int = 2, threshold: float = 0.5, block: int = 4096) -> DataFrame:
     """query_id, category, term, score, rank: the k nearest terms per category, those above the threshold.
 

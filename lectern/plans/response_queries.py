@@ -92,6 +92,18 @@ def json_rows(spark, sf):
 _CATEGORIES = ["domain", "methods", "datasets", "metrics", "keywords"]
 
 
+@query(
+    "WITH e AS (" + " UNION ALL ".join(f"SELECT '{c}' AS category, unnest(range(1, len(entities.{c}) + 1)) AS i, entities.{c} AS t FROM search_runs" for c in ("domain", "methods", "datasets", "metrics")) + "),"
+    f" d AS (SELECT category, t[i] AS term, min(i) - 1 AS pos FROM e WHERE trim(t[i]) <> '' GROUP BY 1, 2), r AS (SELECT *, {core._BYTES.format(x='term')} AS v FROM d)"
+    " SELECT category, term, pos::BIGINT AS pos, round((v[1] / (sqrt(list_sum(list_transform(v, lambda x: x * x))) + 1e-8))::FLOAT::DOUBLE, 5) AS first FROM r"
+)
+def vocabulary_scan(spark, sf):
+    """The entities of all runs as a vocabulary with vectors."""
+    d = table(spark, sf, "search_runs", "entities")
+    lists = F.explode(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"entities.{c}").alias("terms")) for c in ("domain", "methods", "datasets", "metrics")])).alias("x")
+    return understand.vocabulary(d.select(lists).select("x.*")).select("category", "term", "pos", F.round(F.element_at("embedding", 1).cast("double"), 5).alias("first"))
+
+
 @query("SELECT run_id, " + ", ".join(f"array_to_string(list_transform(list_filter(list_zip(coalesce(entities.{c}, []), range(1, 1 + len(coalesce(entities.{c}, [])))), lambda x: trim(x[1]) <> '' AND list_position(entities.{c}, x[1]) = x[2]), lambda x: x[1]), '|') AS {c}" for c in _CATEGORIES) + " FROM search_runs")
 def distinct_entities(spark, sf):
     d = table(spark, sf, "search_runs", "run_id", "entities").withColumn("e", understand.distinct_entities(F.col("entities"), _CATEGORIES))

@@ -124,6 +124,12 @@ def fetched(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("size"), "content")
 
 
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """category, terms of landed JSON files that map each category to its list of terms."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("category", "terms"))
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """path, text of landed ``.txt`` files, one row per file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

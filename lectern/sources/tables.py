@@ -17,4 +17,4 @@ def spread(df: DataFrame) -> DataFrame:
     A large input has more partitions already and passes unchanged.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

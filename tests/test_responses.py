@@ -113,3 +113,15 @@ def test_functions_in_sql(spark):
     got = spark.sql("select idx, sentence from sentences('First long sentence here, see Fig. 2 there. Second long sentence here.')").collect()
     assert [r.idx for r in got] == [0, 1] and "fig. 2" in got[0].sentence
     assert spark.sql("select porter_stem('relational') s").first().s == "relat"
+
+
+def test_detection_hook_and_vocabulary(spark, tmp_path):
+    d = spark.createDataFrame([("bonjour le monde",), ("ab",)], "t string")
+    hooks.plug("detect", lambda t: F.struct(F.lit("en").alias("language"), F.lit(0.9).alias("confidence")))
+    try:
+        assert [r[0] for r in d.select(understand.detect_language(F.col("t"))["language"]).collect()] == ["en", "unknown"]
+    finally:
+        hooks.plug("detect", None)
+    (tmp_path / "v.json").write_text('{"domain": ["ice", "sea", "ice", ""], "methods": ["cnn"]}')
+    got = {(r.category, r.term, r.pos) for r in understand.vocabulary(landed.vocabulary(spark, str(tmp_path))).collect()}
+    assert got == {("domain", "ice", 0), ("domain", "sea", 1), ("methods", "cnn", 0)}
