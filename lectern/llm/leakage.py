@@ -10,6 +10,9 @@ The test side is processed in blocks of about BLOCK windows, one after the other
 block against all documents, so what is held by the driver and the executors has a fixed
 bound, whatever the number of test texts.
 
+In a text that repeats itself an overlap is followed from the first places of the repeated
+windows, where it is longest.
+
 Null and empty texts on either side give no rows; repeated rows and items give their
 own rows; a test text shorter than SPAN tokens cannot be found.
 """
@@ -30,6 +33,8 @@ from lectern.session import cut
 SPAN = 12
 #: Positions that count; the first needs every token but a few in the middle.
 MASKS = ("111011011111", "110110110111", "101101111011")
+#: All positions count: tells windows apart that a mask takes for one.
+WHOLE = "1" * SPAN
 #: Test windows in one index block (at 3 masks about 50 MB).
 BLOCK = 1_000_000
 #: A tolerant overlap ends before so many mismatches within SPAN tokens.
@@ -54,8 +59,18 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return codes.mix(out)
 
 
+def first_of_each(owner: np.ndarray, window: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of the places ``at`` whose window didn't occur at one of them before in the same text."""
+    if not len(at):
+        return at
+    order = np.lexsort((at, window[at], owner[at]))
+    o, w = owner[at][order], window[at][order]
+    new = np.concatenate(([True], (o[1:] != o[:-1]) | (w[1:] != w[:-1])))
+    return np.sort(at[order[new]])
+
+
 class Index:
-    """The masked windows of one block of test texts."""
+    """The masked windows of one block of test texts; a window that a text repeats stands for its first place."""
 
     def __init__(self, items: list[tuple[int, str, str]]):
         self.items = [(i, part) for i, part, _ in items]
@@ -65,9 +80,11 @@ class Index:
         self.first = np.searchsorted(owner, np.arange(len(items)))
         self.owner = owner
         self.seeds, self.places, self.maybe = [], [], []
+        window = seeds(self.hashes, WHOLE)
+        whole = np.flatnonzero(owner[: len(window)] == owner[SPAN - 1 :]) if len(window) else np.empty(0, np.int64)
+        whole = first_of_each(owner, window, whole)
         for mask in MASKS:
             h = seeds(self.hashes, mask)
-            whole = np.flatnonzero(owner[: len(h)] == owner[SPAN - 1 :]) if len(h) else np.empty(0, np.int64)
             order = whole[np.argsort(h[whole], kind="stable")]
             self.seeds.append(h[order])
             self.places.append(order)
@@ -75,12 +92,17 @@ class Index:
             bits[h[whole] >> np.uint64(44)] = True
             self.maybe.append(bits)
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (token of the document chunk, token of the index) where a masked window agrees."""
-        left, right = [], []
+    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (token of the document chunk, token of the index) where a masked window agrees.
+
+        Windows that a document repeats are looked up at their first place only, so that
+        repetitive texts on both sides don't meet in all pairs of places.
+        """
+        left, right, window = [], [], seeds(hashes, WHOLE)
         for mask, sorted_seeds, places, maybe in zip(MASKS, self.seeds, self.places, self.maybe):
             h = seeds(hashes, mask)
-            pos = np.flatnonzero(maybe[h >> np.uint64(44)]) if len(h) else np.empty(0, np.int64)
+            pos = np.flatnonzero(maybe[h >> np.uint64(44)] & (owner[: len(h)] == owner[SPAN - 1 :])) if len(h) else np.empty(0, np.int64)
+            pos = first_of_each(owner, window, pos)
             lo, hi = np.searchsorted(sorted_seeds, h[pos], "left"), np.searchsorted(sorted_seeds, h[pos], "right")
             n = hi - lo
             pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
@@ -124,9 +146,7 @@ def search(index: Index, doc_ids: list, texts: list) -> Iterator[tuple]:
         if len(hashes) < SPAN:
             continue
         owner = np.searchsorted(starts, at, "right") - 1
-        left, right = index.hits(hashes)
-        whole = owner[left] == owner[left + SPAN - 1]
-        left, right = left[whole], right[whole]
+        left, right = index.hits(hashes, owner)
         begin = np.searchsorted(owner, np.arange(len(group)))
         end = np.searchsorted(owner, np.arange(len(group)), "right")
         done: dict[tuple[int, int, int], int] = {}
