@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from lectern import vocab
 
@@ -208,6 +208,16 @@ def rouge_l(candidate: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([one(c, r) for c, r in zip(candidate, reference)])
 
 
+@F.pandas_udf(StructType([StructField(n, LongType()) for n in ("hits", "c", "r")]))
+def rouge_counts(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
+    """Words that two lower-case texts have in common, with their counts, and the words of each."""
+    rows = []
+    for c, r in zip(candidate, reference):
+        x, y = Counter(re.findall(r"[a-z0-9]+", c or "")), Counter(re.findall(r"[a-z0-9]+", r or ""))
+        rows.append((sum(min(n, y[w]) for w, n in x.items() if w in y), x.total(), y.total()))
+    return pd.DataFrame(rows, columns=["hits", "c", "r"])
+
+
 _VOWEL = "aeiou"
 
 

@@ -9,16 +9,13 @@ from lectern.functions import hooks
 
 
 def rouge_1(pairs: DataFrame, key: str, candidate: str, reference: str) -> DataFrame:
-    """key, precision, recall, f1 of lower-case ASCII word tokens, unstemmed; 0 where a side has none.
+    """key, precision, recall, f1 of lower-case ASCII word tokens, unstemmed; 0 where a side has none or is null.
 
-    ``key`` must be unique.  Token counts of both sides meet in one shuffle.
+    One narrow pass: both texts of a pair are in one row.
     """
-    tokens = lambda c: F.filter(F.split(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    d = pairs.select(key, tokens(candidate).alias("c"), tokens(reference).alias("r"))
-    side = lambda c: d.select(key, F.explode(c).alias("t"), F.lit(c).alias("side"))
-    counts = side("c").unionAll(side("r")).groupBy(key, "t").agg(F.sum((F.col("side") == "c").cast("long")).alias("nc"), F.sum((F.col("side") == "r").cast("long")).alias("nr"))
-    hits = counts.groupBy(key).agg(F.sum(F.least("nc", "nr")).alias("hits"), F.sum("nc").alias("c"), F.sum("nr").alias("r"))
-    out = d.select(key).join(hits, key, "left").na.fill(0, ["hits", "c", "r"])
+    from lectern.functions.arrow import rouge_counts
+
+    out = pairs.select(key, rouge_counts(F.lower(F.col(candidate)), F.lower(F.col(reference))).alias("n")).select(key, "n.*")
     p, r = F.when(F.col("c") > 0, F.col("hits") / F.col("c")).otherwise(0.0), F.when(F.col("r") > 0, F.col("hits") / F.col("r")).otherwise(0.0)
     return out.select(key, F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0), 6).alias("f1"))
 
