@@ -447,6 +447,12 @@ def canonical_names(renames: list[tuple[str, str, int]]) -> dict[str, str]:
     return {name: min(names, key=lambda x: (-older[x], x)) for names in groups.values() for name in names}
 
 
+def canonical(path: str, names: dict[str, str]) -> str:
+    """The path under which a first name goes in all streams, its parents' renames included."""
+    parent, dot, leaf = names.get(path, path).rpartition(".")
+    return f"{canonical(parent, names)}.{leaf}" if dot else leaf
+
+
 def compose(memory: dict[str, str], paths: list[str], renames: dict[str, str]) -> dict[str, str]:
     """The first name of each path of a file; ``memory`` (path -> first name so far) is carried on.
 
@@ -549,7 +555,7 @@ def unified(records: DataFrame, script: DataFrame, rows_of: str = "response.resu
     fields = cut(file_fields(records, script))
     joined = fields.where("path <> first").groupBy(F.col("first").alias("old"), F.col("path").alias("new")).agg(F.count("*").alias("n"))
     names = canonical_names([(r["old"], r["new"], r["n"]) for r in joined.collect()])
-    whole = names.get(rows_of, rows_of)
+    whole = canonical(rows_of, names)
     wide = fields.groupBy("file_id").agg(F.collect_list(F.struct("path", "first", "kind", "n")).alias("fields"))
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -557,8 +563,8 @@ def unified(records: DataFrame, script: DataFrame, rows_of: str = "response.resu
             rows = []
             for file_id, own in zip(batch["file_id"], batch["fields"]):
                 taken: dict[str, str] = {}  # column -> path; two fields of a file never share a column
-                for f in sorted(own, key=lambda f: (names.get(f["first"], f["first"]) != f["path"], f["path"])):
-                    to = names.get(f["first"], f["first"])
+                for f in sorted(own, key=lambda f: (canonical(f["first"], names) != f["path"], f["path"])):
+                    to = canonical(f["first"], names)
                     if taken.setdefault(to, f["path"]) != f["path"]:
                         to = f["path"] if taken.setdefault(f["path"], f["path"]) == f["path"] else f"{f['path']}.again"
                         taken[to] = f["path"]

@@ -63,3 +63,35 @@ def test_unified_reads_all_names(spark):
 def test_assignment_is_minimal():
     cost = [[4.0, 1.0, 3.0], [2.0, 0.0, 5.0], [3.0, 2.0, 2.0]]
     assert sum(cost[i][j] for i, j in enumerate(D.assign(cost))) == 5.0
+
+
+def test_unified_follows_each_stream_and_keeps_every_field(spark):
+    files = {
+        (1, 1, 1): [rec(method="lsa", results=[{"paper_id": "p", "score": 0.5, "note": {"text": "long words here", "n": 3}}])],
+        (1, 2, 2): [rec(used_method="lsa", brand_new=True, results=[{"paper_id": "p", "score": "n/a", "memo": {"text": "long words here", "n": 3}}])],
+        (1, 3, 3): [rec(results=[{"paper_id": "p"}]), "broken"],
+        (1, 4, 4): [rec(used_method="lsa", results=[])],
+        (2, 1, 5): [rec(used_method="tfidf", results=[])],
+    }
+    d = run(spark, files)
+    u = D.unified(d, D.changes(d))
+    rows = {r.file_id: r.asDict() for r in u.collect()}
+    assert [rows[i]["method"] for i in (1, 2, 3, 4, 5)] == ["lsa", "lsa", None, "lsa", "tfidf"]
+    assert rows[2]["brand_new"] is True and rows[1]["brand_new"] is None and rows[2]["text"] == "long words here" and rows[2]["n"] == rows[1]["n"] == 3.0
+    assert rows[2]["score"] is None and rows[2]["other_values"] == {"score": "n/a"} and rows[1]["other_values"] is None
+    assert set(u.columns) == {"record_id", "file_id", "result_rank", "brand_new", "method", "n", "paper_id", "query", "score", "text", "other_values"}
+
+
+def test_move_to_another_parent(spark):
+    deep = {"summary": {"model": "a long value that is kept as it is"}}
+    files = {(1, 1, 1): [rec(**deep)] * 3, (1, 2, 2): [rec(model="a long value that is kept as it is", summary={"x": 1})] * 3}
+    got = changes(spark, files)
+    assert (2, "moved", "response.summary.model", "response.model") in got and (2, "added", "", "response.model") in got and (2, "removed", "response.summary.model", "") in got
+
+
+def test_odd_records(spark):
+    files = {(1, 1, 1): [None, "", "[1]", "3", '{"a": null}', '{"a": {"b": [[1, null], {"c": []}]}, "long": "' + "x" * 200_000 + '"}'], (1, 2, 2): ["{}"], (None, 3, 3): ['{"a": 1}']}
+    got = changes(spark, files)
+    assert got == {(2, "removed", "a", ""), (2, "removed", "long", "")} or (2, "removed", "long", "") in got
+    d = run(spark, files)
+    assert D.unified(d, D.changes(d)).count() == 4
