@@ -241,20 +241,23 @@ def validate(values: DataFrame) -> DataFrame:
     ``labelled`` counts the values with a weakly labelled part, ``both`` those that are rejected too.
     """
     items, labels, hosts = labelled(values)
-    fold = np.array([zlib.crc32(h.encode()) % FOLDS for h in hosts])
+    folds = {h: i % FOLDS for i, h in enumerate(sorted(set(hosts)))}  # hosts outside the sample go by a hash
+    fold = np.array([folds[h] for h in hosts])
     models = {}
     for k in range(FOLDS):
         train = np.flatnonzero(fold != k)
         if labels[train].any() and not labels[train].all():
             models[k] = Classifier([items[i] for i in train], labels[train])
-    sent = values.sparkSession.sparkContext.broadcast(models)
+    sent = values.sparkSession.sparkContext.broadcast((models, folds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             host, text = ([x or "" for x in c.to_pylist()] for c in batch.columns)
             kept, weak, bad = [], [], []
-            for k, model in sent.value.items():
-                own = [i for i, h in enumerate(host) if zlib.crc32(h.encode()) % FOLDS == k]
+            models, folds = sent.value
+            at_fold = [folds[h] if h in folds else zlib.crc32(h.encode()) % FOLDS for h in host]
+            for k, model in models.items():
+                own = [i for i, f in enumerate(at_fold) if f == k]
                 for at in range(0, len(own), 2000):
                     chunk = [parts(text[i]) for i in own[at : at + 2000]]
                     kept += [host[i] for i in own[at : at + 2000]]
