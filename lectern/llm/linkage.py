@@ -9,9 +9,10 @@
 3. The candidate graph weighs an edge by the rarity of what it shares; meta-blocking
    keeps the edges of at least PRUNE times the best weight of one of their ends.
 4. Edges are compared in title, authors, year and part number.
-5. Neighbour similarity is propagated until stable: an edge without a contradiction
-   takes over part of the score of the same catalogue node with another edition of the
-   paper (and the other way round).
+5. Neighbour similarity is propagated until stable: the neighbours of a node are the
+   nodes of its own side that compare well with it in known authors too, and an edge
+   without a contradiction takes over part of the score that its catalogue node has with
+   a neighbour of its paper (and the other way round).
 
 Nulls: a null title or an empty one gives no node; null authors and years are unknown
 and neither support nor contradict.  Repeated rows are pairs of their own.
@@ -37,7 +38,7 @@ PREFIX = {"title_keys": 0.6, "author_keys": 0.6}
 APART = 8
 #: An edge stays if it has this share of the best weight at one of its ends.
 PRUNE = 0.4
-#: Share of a neighbour's score that is taken over, and score of a match.
+#: Share of a neighbour's score that is taken over, and score of a match.  What is under MATCH / PASS_ON passes no match on.
 PASS_ON, MATCH = 0.8, 0.5
 
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8}
@@ -223,6 +224,33 @@ def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _EDGE)], schema=_EDGE)
 
 
+_GAIN = pa.schema([("p", pa.int64()), ("c", pa.int64()), ("gain", pa.float64())])
+
+
+def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for p, c, score, passed, *x in zip(*(col.to_pylist() for col in batch.columns)):
+            similar, contradiction = compare(tuple(x[:4]), tuple(x[4:]))
+            gain = PASS_ON * min(passed, similar)
+            if not contradiction and gain >= MATCH and gain > score + 1e-9:
+                rows.append((p, c, gain))
+        columns = list(zip(*rows)) or [[] for _ in _GAIN]
+        yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _GAIN)], schema=_GAIN)
+
+
+def _gains(scored: DataFrame, fresh: DataFrame, one: DataFrame, side: str, across: str) -> DataFrame:
+    """p, c, gain of the edges that a fresh edge of the same node across raises, by the similarity of the two nodes of one side.
+
+    A node without authors is nobody's neighbour, and one with a cut title passes nothing on: they are like different works.
+    """
+    strong = fresh.where(F.col("score") >= MATCH / PASS_ON).select(across, F.col(side).alias("other"), F.col("score").alias("passed"))
+    met = scored.join(strong, across).where((F.col(side) != F.col("other")) & (F.col("passed") * PASS_ON > F.col("score") + 1e-9))
+    mine, others = (one.where(F.size("authors") > 0).select(F.col("node").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in ("title", "part", "authors", "year")]) for n in (side, "other"))
+    met = met.join(mine, side).join(others.where("other_part <> -1"), "other").select("p", "c", "score", "passed", *mine.columns[1:], *others.columns[1:])
+    return met.mapInArrow(_support, "p long, c long, gain double")
+
+
 def _indexed(one: DataFrame, idf: DataFrame, family: str) -> DataFrame:
     """node, k, weight, year under the rarest of a family's keys that occur on both sides; under all for a node without authors."""
     keyed = one.select("node", "year", (F.size("authors") == 0).alias("alone"), F.explode(family).alias("k")).join(idf.hint("merge"), "k")
@@ -269,20 +297,14 @@ def match(papers: DataFrame, catalog: DataFrame, paper_key: str, catalog_key: st
     b = cn.select(F.col("node").alias("c"), *[F.col(x).alias(f"c_{x}") for x in ("title", "part", "authors", "year")])
     compared = edges.join(a, "p").join(b, "c").select("p", "c", *a.columns[1:], *b.columns[1:])
     scored = compared.mapInArrow(_score, "p long, c long, score double, locked boolean").where("not locked")
-    # editions of one work on one side: same title, part and authors, whatever the year
-    edition = F.xxhash64("title", "part", F.concat_ws(";", "authors"))
-    scored = scored.join(pn.select(F.col("node").alias("p"), edition.alias("pe")), "p").join(cn.select(F.col("node").alias("c"), edition.alias("ce")), "c")
-    scored = cut(scored.select("p", "c", "pe", "ce", "score"))
-    while True:  # ends: scores only rise, by PASS_ON of another edge's at most
-        of_p = scored.groupBy("pe", "c").agg(F.max("score").alias("sp"))
-        of_c = scored.groupBy("p", "ce").agg(F.max("score").alias("sc"))
-        support = F.greatest("sp", "sc") * PASS_ON
-        new = scored.join(of_p, ["pe", "c"]).join(of_c, ["p", "ce"]).select("p", "c", "pe", "ce", F.greatest("score", support).alias("score"), (support > F.col("score") + 1e-9).alias("up"))
-        new = cut(new)
-        changed = new.where("up").limit(1).count()
-        scored = new.drop("up")
-        if not changed:
+    fresh = scored = cut(scored.select("p", "c", "score"))
+    while True:  # ends: a score rises to PASS_ON of a fresh one at most, and only to MATCH or more
+        gains = _gains(scored, fresh, pn, "p", "c").unionAll(_gains(scored, fresh, cn, "c", "p"))
+        gains = cut(gains.groupBy("p", "c").agg(F.max("gain").alias("gain")))
+        if gains.isEmpty():
             break
+        scored = cut(scored.join(gains, ["p", "c"], "left").select("p", "c", F.coalesce("gain", "score").alias("score")))
+        fresh = gains.withColumnRenamed("gain", "score")
     found = scored.where(F.col("score") >= MATCH).select("p", "c", F.round("score", 4).alias("confidence"))
     found = found.join(p_rows.select(F.col("node").alias("p"), F.col("key").alias("paper_key")), "p")
     found = found.join(c_rows.select(F.col("node").alias("c"), F.col("key").alias("catalog_key")), "c")

@@ -280,6 +280,26 @@ def test_matches(spark):
     assert linkage.match(a.limit(0), b, "k", "k").count() == 0
 
 
+def test_neighbours_decide(spark):
+    """A pair too weak alone is a match by a neighbour of either side, over two steps too, and never by a work of other authors."""
+    schema = "k long, title string, authors array<string>, year int"
+    clean, swapped, worse = "Sparse Encoders for Glacier Monitoring in the Northern Field", "Sparse Encoders for Glacier Monitoring in the Norhtern Field", "Sparse Encoders for Glacier Mnoitoring in the Norhtern Filed"
+    a, b = ["Anna Bergmann", "Carl Dahl"], ["Olaf Petersen"]
+    bare, fine = "Tidal Archives and the Memory of Harbour Towns", "Tidla Archives and the Memory of Harobur Towns"
+    left = [(1, clean, a, 2019), (2, swapped, a, 2020), (3, worse, a, 2021), (4, worse, b, 2021), (5, bare, None, 2010)]
+    right = [(11, clean, None, 2020), (12, bare, a, 2010), (13, fine, a, 2010), (14, fine, b, 2010)]
+
+    def alone(x, y):
+        return linkage.compare(*((*linkage.title_of(r[1])[::2], [linkage.author_of(n) for n in r[2] or []], r[3]) for r in (x, y)))
+
+    for weak in (alone(left[2], right[0]), alone(left[3], right[0]), alone(left[4], right[2]), alone(left[4], right[3])):
+        assert weak[0] < linkage.MATCH and not weak[1]
+    assert alone(left[0], left[2])[1]  # the third meets the first by way of the second only
+    got = {(r.paper_key, r.catalog_key): r.confidence for r in linkage.match(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "k", "k").collect()}
+    assert set(got) == {(1, 11), (2, 11), (3, 11), (5, 12), (5, 13)}
+    assert got[1, 11] == 0.83 and got[2, 11] == 0.664 and got[3, 11] == 0.5312
+
+
 # ---- problem 5 -----------------------------------------------------------------------
 
 
