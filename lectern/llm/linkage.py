@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.session import cut
@@ -239,6 +239,19 @@ def _support(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _GAIN)], schema=_GAIN)
 
 
+def _may_share(a: str, b: str) -> Column:
+    """Whether a name of both lists may be near the other; a swap is two edits here, so no pair that ``near`` takes is left out."""
+
+    def close(x: Column, y: Column) -> Column:
+        return F.levenshtein(x, y, 4).between(0, F.when(F.least(F.length(x), F.length(y)) < 9, 2).otherwise(4))
+
+    def pair(x: Column, y: Column) -> Column:
+        u, v = F.split(x, r"\|", 2), F.split(y, r"\|", 2)
+        return close(u[0], v[0]) | close(F.array_join(u, ""), F.array_join(v, ""))
+
+    return F.exists(a, lambda x: F.exists(b, lambda y: pair(x, y)))
+
+
 def _gains(scored: DataFrame, fresh: DataFrame, one: DataFrame, side: str, across: str) -> DataFrame:
     """p, c, gain of the edges that a fresh edge of the same node across raises, by the similarity of the two nodes of one side.
 
@@ -247,7 +260,8 @@ def _gains(scored: DataFrame, fresh: DataFrame, one: DataFrame, side: str, acros
     strong = fresh.where(F.col("score") >= MATCH / PASS_ON).select(across, F.col(side).alias("other"), F.col("score").alias("passed"))
     met = scored.join(strong, across).where((F.col(side) != F.col("other")) & (F.col("passed") * PASS_ON > F.col("score") + 1e-9))
     mine, others = (one.where(F.size("authors") > 0).select(F.col("node").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in ("title", "part", "authors", "year")]) for n in (side, "other"))
-    met = met.join(mine, side).join(others.where("other_part <> -1"), "other").select("p", "c", "score", "passed", *mine.columns[1:], *others.columns[1:])
+    met = met.repartition(side, "other").join(mine, side).join(others.where("other_part <> -1"), "other").where(_may_share(f"{side}_authors", "other_authors"))
+    met = met.select("p", "c", "score", "passed", *mine.columns[1:], *others.columns[1:])
     return met.mapInArrow(_support, "p long, c long, gain double")
 
 
